@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, token_files
+from . import licenses, mixing, packing, pii, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_fixity": warc.op2_warc_fixity,
+    "op3_surrogates": pii.op3_surrogates,
     "op5_token_files": token_files.op5_token_files,
     "op6_packing": packing.op6_packing,
     "op8_mixing": mixing.op8_mixing,
+    "op10_licenses": licenses.op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc_fixity": warc.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op10_licenses": licenses.ORACLE,
 }
