@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, packing, pii, token_files, warc
+from . import langid, licenses, mixing, packing, pii, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": langid.op1_langid,
     "op2_warc_fixity": warc.op2_warc_fixity,
     "op3_surrogates": pii.op3_surrogates,
     "op5_token_files": token_files.op5_token_files,
