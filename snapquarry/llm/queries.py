@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, mixing, packing, pii, token_files, warc
+from . import itq, langid, licenses, mixing, packing, pii, prefix_forest, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": langid.op1_langid,
     "op2_warc_fixity": warc.op2_warc_fixity,
     "op3_surrogates": pii.op3_surrogates,
+    "op4_prefix_forest": prefix_forest.op4_prefix_forest,
     "op5_token_files": token_files.op5_token_files,
     "op6_packing": packing.op6_packing,
     "op8_mixing": mixing.op8_mixing,
+    "op9_itq": itq.op9_itq,
     "op10_licenses": licenses.op10_licenses,
 }
 
