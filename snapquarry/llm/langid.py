@@ -163,14 +163,17 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), ba
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep = list(keep)
     schema = StructType([docs.schema[c] for c in keep]).add("lang_pred", StringType()).add("score", DoubleType())
 
+    at_text = keep.index("text") if "text" in keep else len(keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for rows in batches:
             for at in range(0, rows.num_rows, batch):
                 part = rows.slice(at, batch)
-                texts = part.column(rows.schema.get_field_index("_text")).to_pylist()
+                texts = part.column(at_text).to_pylist()
                 lang, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
                 there = [i for i, t in enumerate(texts) if t and m.languages and any(map(str.isalpha, t))]
                 if there:
@@ -180,7 +183,7 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), ba
                         lang[i], score[i] = m.languages[k], float(min(1.0, max(0.0, (v + 1) / 2)))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
 
 
 def train(docs: DataFrame, per_language: int = 400, longest: int = 20_000, landmarks: int = 192) -> Model:

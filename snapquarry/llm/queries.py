@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import itq, langid, licenses, mixing, packing, pii, prefix_forest, token_files, warc
+from . import itq, langid, licenses, mixing, ngram_join, packing, pii, prefix_forest, token_files, warc
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": langid.op1_langid,
@@ -15,9 +22,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_prefix_forest": prefix_forest.op4_prefix_forest,
     "op5_token_files": token_files.op5_token_files,
     "op6_packing": packing.op6_packing,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_mixing": mixing.op8_mixing,
     "op9_itq": itq.op9_itq,
     "op10_licenses": licenses.op10_licenses,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
