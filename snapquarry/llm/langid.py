@@ -139,7 +139,7 @@ def labelled_sample(docs: DataFrame, per_language: int = 400, longest: int = 20_
     Counts by language first; then a hash threshold lets about twice the bound through,
     and the bound is kept exactly on the driver.
     """
-    usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).where(F.length("text").between(20, longest))
+    usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).where(F.length("text").between(1, longest))
     hashed = usable.select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
     if not counts:
