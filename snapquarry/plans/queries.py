@@ -21,11 +21,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def _query(oracle: str | None = None):
+def _query(oracle: str | None = None, alone: bool = False):
+    """Register a query; its SQL comes behind the common views unless it stands ``alone``."""
+
     def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if oracle is not None:
-            ORACLE_SQL[f.__name__] = _COMMON + oracle if oracle.lstrip().startswith(("SELECT", ",")) else oracle
+            ORACLE_SQL[f.__name__] = oracle if alone else _COMMON + oracle
         return f
 
     return add
@@ -78,7 +80,7 @@ def snapshot_prefix(t: Tables) -> DataFrame:  # PF09, PF10, A15
 SELECT e.event_id, e.user_id, s.event_id AS asof_state
 FROM events e ASOF LEFT JOIN (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase') s ON e.user_id = s.user_id AND e.ts >= s.ts
 WHERE e.event_type <> 'purchase'
-""".replace("\nSELECT", "WITH z AS (SELECT 1) SELECT", 1))
+""", alone=True)
 def asof_events(t: Tables) -> DataFrame:  # J10 for many points
     e = t.raw("events").select("event_id", "user_id", "ts", "event_type")
     states = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("state"))
@@ -361,7 +363,7 @@ def schema_defaults(t: Tables) -> DataFrame:  # PF01, PF02, SC03
     return conform(rows, "snapshots").select("id", "actor", "kind", "timestamp")
 
 
-@_query("""SELECT c_custkey AS k, c_name AS name, c_mktsegment AS segment, NULL::DOUBLE AS balance FROM customer UNION ALL BY NAME SELECT s_suppkey AS k, s_name AS name, s_acctbal AS balance FROM supplier""".replace("SELECT", "WITH z AS (SELECT 1) SELECT", 1))
+@_query("""SELECT c_custkey AS k, c_name AS name, c_mktsegment AS segment, NULL::DOUBLE AS balance FROM customer UNION ALL BY NAME SELECT s_suppkey AS k, s_name AS name, s_acctbal AS balance FROM supplier""", alone=True)
 def union_by_name(t: Tables) -> DataFrame:  # SE01, SC10
     c = t.raw("customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
     s = t.raw("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
@@ -385,7 +387,7 @@ def retired_union(t: Tables) -> DataFrame:  # SE04
 # analytics and SQL ----------------------------------------------------------------------------
 
 
-@_query('SELECT date_trunc(\'month\', o_orderdate) AS bucket, added, (sum(added) OVER (ORDER BY bucket))::BIGINT AS total FROM (SELECT date_trunc(\'month\', o_orderdate) AS bucket, date_trunc(\'month\', o_orderdate) AS o_orderdate, count(*) AS added FROM orders GROUP BY 1, 2)')
+@_query("SELECT bucket, added, (sum(added) OVER (ORDER BY bucket))::BIGINT AS total FROM (SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS bucket, count(*) AS added FROM orders GROUP BY 1)", alone=True)
 def growth_over_time(t: Tables) -> DataFrame:
     o = t.raw("orders").select(F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("m"), F.lit(1).alias("one"))
     return analytics.growth(o, F.col("m"), "one")
