@@ -1,10 +1,12 @@
 """Exact batch tokenisation with a cache of words.
 
-A byte-pair tokenizer encodes each pre-token by itself, so the ids of a text are the
-ids of its pieces if no cut changes the pre-tokens.  The cuts here stand at single
-spaces and single newlines between other characters.  Texts with white space beside
-white space are encoded whole.  All ids come from the ``tokenizers`` library; only
-repeated words are looked up.  The cache is bounded and emptied when full.
+A byte-pair tokenizer encodes each pre-token by itself, so the ids of a text are the ids of
+its pieces if no cut changes the pre-tokens.  The cuts here stand before single spaces and
+single newlines; texts with white space beside white space are encoded whole.  A piece of
+Latin letters, with or without punctuation behind, goes straight to the library's byte-pair
+model; any other piece goes through the whole tokenizer.  All ids come from the
+``tokenizers`` library; only repeated pieces are looked up.  The cache is bounded and
+emptied when full.
 """
 
 from __future__ import annotations
@@ -16,107 +18,102 @@ import re
 import numpy as np
 
 _RUN = re.compile(r"\s\s")
+#: Letters whose lower case and normal form are themselves or one such letter.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,80})([.,;:!?]{0,8})")
+
+
+def _byte_symbols() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else the next from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class WordEncoder:
     """Encode texts to little-endian unsigned 32-bit ids.
 
-    ``newline`` tells whether the tokenizer keeps white space (byte-level) or drops it
-    (word ends).  Any other kind of tokenizer encodes whole texts.
     Null texts count as empty.  The strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, max_words: int = 300_000):
+    def __init__(self, path: str, max_pieces: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True
+        self._model = self._tok.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self._cache: dict[str, bytes] = {}
-        self._max = max_words
-        pre = spec.get("pre_tokenizer") or {}
-        norm = spec.get("normalizer")
-        if spec.get("model", {}).get("type") != "BPE":
-            self._kind = "whole"
-        elif pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
-            self._kind, self._between = "bytes", "\n"
-        elif (spec["model"].get("end_of_word_suffix") or "") and pre.get("type") == "Sequence" and '"Removed"' in json.dumps(pre):
-            self._kind, self._between = "words", " | "
+        pre, bpe = spec.get("pre_tokenizer") or {}, spec["model"].get("type") == "BPE"
+        steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        if bpe and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and spec.get("normalizer") is None:
+            self._kind, self._newline = "bytes", self._whole("\n")
+        elif bpe and spec["model"].get("end_of_word_suffix") and steps == ["NFC", "Replace", "Lowercase"] and '"Removed"' in json.dumps(pre):
+            self._kind, self._newline = "words", b""
         else:
             self._kind = "whole"
-        if self._kind != "whole":
-            mark = self._whole(["\n" if self._kind == "bytes" else "|"])[0]
-            self._mark = np.frombuffer(mark, "<u4")
-            if len(self._mark) != 1:
-                self._kind = "whole"
-            self._newline = mark if self._kind == "bytes" else b""
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Add words to the cache, many in one call, told apart by the id of a separator."""
-        if len(self._cache) + len(words) > self._max:
-            self._cache.clear()
-        odd = [w for w in words if w[-1].isspace() or (w[0].isspace() and w[0] != " ") or "|" in w or len(w) > 200]
-        if odd:
-            for w, ids in zip(odd, self._whole(odd), strict=True):
-                self._cache[w] = ids
-            skip = set(odd)
-            words = [w for w in words if w not in skip]
-        for a in range(0, len(words), 1024):
-            part = words[a : a + 1024]
-            ids = np.frombuffer(self._whole([self._between.join(part)])[0], "<u4")
-            cuts = np.flatnonzero(ids == self._mark[0])
-            if len(cuts) == len(part) - 1:
-                raw, at = ids.tobytes(), 0
-                for w, end in zip(part, [*cuts.tolist(), len(ids)], strict=True):
-                    self._cache[w] = raw[4 * at : 4 * end]
-                    at = end + 1
-            else:
-                for w, one in zip(part, self._whole(part), strict=True):
-                    self._cache[w] = one
-
-    def _pieces(self, text: str) -> list[list[str]]:
-        lines = []
-        for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            units = [" " + w for w in rest]
-            if head:
-                units.insert(0, head)
-            lines.append(units)
-        return lines
+        self._symbols = _byte_symbols()
+        self._cache: dict[str, bytes] = {}
+        self._packed = [i.to_bytes(4, "little") for i in range(self._tok.get_vocab_size())]
+        self._marks: dict[str, bytes] = {"": b""}
+        self._max = max_pieces
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self._tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece; a newline at its start stands for itself, else a space comes before it."""
+        head = piece[:1] == "\n"
+        body = piece[1:] if head else piece
+        plain = _PLAIN.fullmatch(body)
+        if not plain:
+            ids = self._whole(body if head else " " + body) if body or not head else b""
+        else:
+            word, marks = plain.groups()
+            stem = word if not marks else ("\n" + word if head else word)
+            ids = self._cache.get(stem) if marks else None
+            if ids is not None and head:
+                ids = ids[len(self._newline) :]
+            if ids is None:
+                symbols = word.lower() if self._kind == "words" else word
+                if not word.isascii():
+                    symbols = symbols.encode().decode("latin-1").translate(self._symbols)
+                if self._kind == "bytes" and not head:
+                    symbols = self._symbols[32] + symbols
+                packed = self._packed
+                ids = b"".join([packed[t.id] for t in self._model.tokenize(symbols)])
+                if marks:
+                    self._cache[stem] = self._newline + ids if head else ids
+            end = self._marks.get(marks)
+            if end is None:
+                end = self._marks[marks] = self._whole(marks)
+            ids += end
+        return self._newline + ids if head else ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, packed; nulls give no ids."""
-        out: list[bytes] = [b""] * len(texts)
-        if self._kind == "whole":
-            there = [i for i, t in enumerate(texts) if t]
-            for i, ids in zip(there, self._whole([texts[i] for i in there]), strict=True):
-                out[i] = ids
-            return out
-        cache = self._cache
-        for i, text in enumerate(texts):
+        cache, out, skip = self._cache, [], 0 if self._kind == "whole" else len(self._newline)
+        for text in texts:
             if not text:
+                out.append(b"")
                 continue
-            if _RUN.search(text):
-                out[i] = self._whole([text])[0]
+            if self._kind == "whole" or _RUN.search(text):
+                out.append(self._whole(text))
                 continue
-            lines = self._pieces(text)
-            missing = {w for units in lines for w in units if w not in cache}
-            if missing:
-                if len(missing) > self._max // 4:
-                    out[i] = self._whole([text])[0]
-                    continue
-                before = len(cache)
-                self._learn(sorted(missing))
-                if len(cache) < before:  # it was emptied
-                    again = {w for units in lines for w in units if w not in cache}
-                    if again:
-                        self._learn(sorted(again))
-            out[i] = self._newline.join([b"".join([cache[w] for w in units]) for units in lines])
+            pieces = text.replace("\n", " \n").split(" ")
+            pieces[0] = "\n" + pieces[0]
+            ids = list(map(cache.get, pieces))
+            if None in ids:
+                for i, known in enumerate(ids):
+                    if known is None:
+                        piece = pieces[i]
+                        known = cache.get(piece)
+                        if known is None:
+                            if len(cache) >= self._max:
+                                cache.clear()
+                            known = cache[piece] = self._piece(piece)
+                        ids[i] = known
+            out.append(b"".join(ids)[skip:])
         return out
 
 
