@@ -22,12 +22,13 @@ documents of their own with a row each; ties in choosing whom to keep go to the
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -76,7 +77,9 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, key binary, signature binary")
 
 
-def _bands(classes: DataFrame) -> DataFrame:
+def _bands(signed: DataFrame) -> DataFrame:
+    """``node`` and ``band``: a row for each band of each text; equal texts give equal rows."""
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns = MinHash(ROWS, seed=5).turns
         bands = HASHES // ROWS
@@ -88,10 +91,36 @@ def _bands(classes: DataFrame) -> DataFrame:
             mixed = (parts * turns).sum(axis=2, dtype=np.uint64)
             mixed ^= mixed >> np.uint64(29)
             mixed = (mixed + np.arange(bands, dtype=np.uint64)) * turns[0]
-            keys = pa.DictionaryArray.from_arrays(np.repeat(np.arange(len(s)), bands), batch.column("key")).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([keys, pa.array(mixed.ravel().view(np.int64))], ["key", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), bands)), pa.array(mixed.ravel().view(np.int64))], ["node", "band"])
+
+    return signed.select(_node("key").alias("node"), "signature").mapInArrow(split, "node long, band long")
+
+
+def _node(key: str) -> Column:
+    """A class in the search for candidates.  Two keys with one node only share a group of candidates."""
+    return F.xxhash64(key)
+
 
-    return classes.select("key", "signature").mapInArrow(split, "key binary, band long")
+def _possible(ids: DataFrame, column: str, most_bits: int = 24) -> Callable[[Column], Column]:
+    """A Bloom filter of at most 2 MiB on a column: whether a value may be among ``ids``.
+
+    It spares the shuffle of most texts.  With more ids than it was made for it lets more
+    through, and the join behind it decides.
+    """
+    bits = 1 << min(most_bits, max(10, (16 * ids.count()).bit_length()))
+    places = lambda c: [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(bits)) for k in range(2)]
+    word = ids.select(F.explode(F.array(*places(F.col(column)))).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
+    rows = word.agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")).collect()
+    table_ = np.zeros(bits // 64, np.uint64)
+    table_[[r["word"] for r in rows]] = np.array([r["bits"] for r in rows], np.int64).view(np.uint64)
+    sent = ids.sparkSession.sparkContext.broadcast(table_)
+
+    @F.pandas_udf("boolean")
+    def may(one: pd.Series, two: pd.Series) -> pd.Series:
+        test = lambda s: sent.value[s.to_numpy() >> 6] >> (s.to_numpy() & 63).astype(np.uint64) & np.uint64(1) == 1
+        return pd.Series(test(one) & test(two))
+
+    return lambda c: may(*places(c))
 
 
 def _compare(threshold: float, tolerance: float, group: list[str]):
@@ -145,6 +174,9 @@ def _compare(threshold: float, tolerance: float, group: list[str]):
             if rows.num_rows < 2:
                 continue
             keys = rows.column("key").to_pylist()
+            once = [k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]]  # a class of equal rows may come from several tasks
+            if len(once) < len(keys):
+                rows, keys = rows.take(once), [keys[k] for k in once]
             own, copies = rows.column("own").to_numpy(), rows.column("copies").to_numpy()
             x, y = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
             signs = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint32).reshape(len(keys), HASHES)
@@ -178,32 +210,34 @@ def join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, block
     """
     signed = materialise(signatures(docs), "ngram-signatures")
     worded = signed.where("key IS NOT NULL")
-    classes = materialise(worded.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature")), "ngram-classes")
-    bands = _bands(classes)
-    met = bands.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("band", "low")
-    groups = connected_components(bands.join(met, "band").select(F.col("key").alias("a"), F.col("low").alias("b")), "ngram-groups")
-    groups = groups.select(F.col("node").alias("key"), F.col("component").alias("in_group"))
-    sizes = groups.groupBy("in_group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = materialise(classes.join(groups, "key").join(sizes, "in_group").select("key", "rep", "copies", "in_group", "blocks"), "ngram-members")
+    classes = materialise(worded.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "ngram-classes")
+    bands = _bands(worded)
+    met = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band", "low")
+    groups = connected_components(bands.join(met, "band").select(F.col("node").alias("a"), F.col("low").alias("b")), "ngram-groups")
+    groups = groups.select("node", F.col("component").alias("group"))
+    found_in = classes.withColumn("node", _node("key")).join(groups, "node")
+    sizes = found_in.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    members = materialise(found_in.join(sizes, "group").select("key", "rep", "copies", "group", "blocks"), "ngram-members")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        minhash = MinHash(HASHES)
+        minhash, seen = MinHash(HASHES), set()
         for batch in batches:
             texts, wanted = batch.column("text").to_pylist(), batch.column("key").to_pylist()
             for a, b in grouped(texts):
-                found = [(k, s) for k, s in zip(range(a, b), shingle_sets(texts[a:b]), strict=True) if class_key(s) == wanted[k]]
+                # a class comes once from each task, and from a text that is really its own
+                found = [(k, s) for k, s in zip(range(a, b), shingle_sets(texts[a:b]), strict=True) if class_key(s) == wanted[k] and not (wanted[k] in seen or seen.add(wanted[k]))]
                 at = pa.array([k for k, _ in found], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).take(at) for c in ("key", "copies", "in_group", "blocks")), pa.array([minhash.signature(s).tobytes() for _, s in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())],
-                    ["key", "copies", "in_group", "blocks", "signature", "shingles"],
+                    [*(batch.column(c).take(at) for c in ("key", "copies", "group", "blocks")), pa.array([minhash.signature(s).tobytes() for _, s in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())],
+                    ["key", "copies", "group", "blocks", "signature", "shingles"],
                 )
 
     # only the texts of classes that met something are read again
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    again = texts.join(members, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "key", "copies", "in_group", "blocks")
-    payload = materialise(again.mapInArrow(shingled, "key binary, copies long, in_group binary, blocks int, signature binary, shingles binary").withColumn("group", F.xxhash64("in_group")), "ngram-payload")
-    once = payload.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("copies"))).where("nth = 1")
-    dealt = once.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    possible = _possible(members, "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(possible(F.col("doc_id")))
+    again = texts.join(members, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "key", "copies", "group", "blocks")
+    payload = again.mapInArrow(shingled, "key binary, copies long, group long, blocks int, signature binary, shingles binary")
+    dealt = payload.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
     order = ["group", "x", "y"]
     pairs = dealt.select(*order, "own", "key", "copies", "signature", "shingles").repartition(*order).sortWithinPartitions(*order, "key")
