@@ -97,12 +97,12 @@ def _mix(docs: DataFrame, weights: Sequence[float], share: float, most: float, k
     edges = thresholds(sized, goal.where("source_size > 0").select("source", "budget"))
     edges = edges.select(F.col("source").alias("s2"), "threshold")
     plan = goal.join(edges, F.col("source").eqNullSafe(F.col("s2")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold"))
-    base = sized if not keep else docs.withColumn("_hash", document_hash(F.col("doc_id"))).withColumn("_size", words(F.col("text")))
     if not keep:
         copies = F.col("whole") + (F.col("hash") < F.col("threshold")).cast("long")
-        return base.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
-    copies = F.col("whole") + (F.col("_hash") < F.col("threshold")).cast("long")
-    return base.join(plan, base["source"].cast("string").eqNullSafe(F.col("s"))).select(*[base[c] for c in keep], copies.cast("int").alias("_copies"))
+        return sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    plan = plan.select(F.col("s").alias("_s"), F.col("whole").alias("_whole"), F.col("threshold").alias("_threshold"))
+    copies = F.col("_whole") + (document_hash(docs["doc_id"]) < F.col("_threshold")).cast("long")
+    return docs.join(plan, docs["source"].cast("string").eqNullSafe(F.col("_s"))).select(*[docs[c] for c in keep], copies.cast("int").alias("_copies"))
 
 
 def take(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:

@@ -138,6 +138,7 @@ def test_mixing_edges(spark, tmp_path):
         total["size"] += r["size"]
     assert got.agg(F.max("copies")).first()[0] == 2
     assert mixing.mix(d.limit(0)).count() == 0
+    d = d.withColumns({c: F.lit(1) for c in ("threshold", "whole", "s", "hash", "size")})
     taken = mixing.take(d)
     assert taken.columns == d.columns
     by_id = {(r["doc_id"], r["source"]): r["copies"] for r in got.join(d.select("doc_id", "source").distinct(), "doc_id").collect() if r["doc_id"] and r["doc_id"] > 5}
