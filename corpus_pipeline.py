@@ -26,11 +26,14 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest ``doc_id``; of equal rows one."""
     judged = ngram_join.join(docs.select("doc_id", "text"))
-    gone = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("stays")).where("NOT stays").select(F.col("doc_id").alias("gone"))
-    left = docs.select(*COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    # equal rows share an id, so they stand in one partition if the join shuffled
+    by_id = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("stays"), F.count("*").alias("n"))
+    # ids that go or come several times; the others' texts need not move
+    marked = materialise(by_id.where("NOT stays OR n > 1").withColumnRenamed("doc_id", "id"), "pipeline-marked")
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    single = docs.select(*COLUMNS).join(marked, same, "left_anti")
+    several = docs.select(*COLUMNS).join(marked.where("stays"), same, "left_semi")
     nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("n_chars"))
-    return left.withColumn("_nth", nth).where("_nth = 1").select(*COLUMNS)
+    return single.unionByName(several.withColumn("_nth", nth).where("_nth = 1").select(*COLUMNS))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
