@@ -41,22 +41,43 @@ SYLLABLES = {
     "greek": ["βα", "δε", "φι", "γο", "χα", "κε", "λι", "μο", "να", "πε", "ρι", "σο", "τα", "βε", "θι", "ζο"],
 }
 
+#: Titles that may carry a full stop.
+SHORT_TITLES = ("Mr", "Mrs", "Ms", "Mme")
+
 _FIRST = "|".join(n for ns in NAMES.values() for n in ns)
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
+_CAPITAL = r"[A-ZÀ-ÖØ-ÞĀ-ſΆ-ΫЀ-Я]"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: Kind, pattern; the first that matches at a place counts.
+#: Kind, a class of characters it starts with, pattern; the first that matches at a place counts.
 PATTERNS = (
-    ("email", r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
-    ("secret", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:(?<![A-Za-z0-9])(?:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[0-9A-Za-z+/_-]{8,128})"),
-    ("ip", rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"),
-    ("phone", r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9A-Za-z+])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"),
-    ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("card", r"(?<![0-9A-Za-z-])(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?![0-9A-Za-z]|-[0-9])"),
-    ("name", rf"(?<![\p{{L}}])(?:(?:{_TITLE})\.? \p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?|(?:{_FIRST}) \p{{Lu}}\p{{L}}{{1,30}})(?![\p{{L}}])"),
+    ("email", r"[A-Za-z0-9._%+-]", r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
+    ("secret", r"[AaPpSsTt]", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[0-9A-Za-z+/_-]{8,128})"),
+    ("ip", r"[0-9]", rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"),
+    ("phone", r"[+(]", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4})(?![0-9])"),
+    ("ssn", r"[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    ("card", r"[0-9]", r"(?<![0-9A-Za-z-])(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?![0-9A-Za-z]|-[0-9])"),
+    ("name", _CAPITAL, rf"(?<!\p{{L}})(?:(?:(?:{'|'.join(SHORT_TITLES)})\.|(?:{_TITLE})) \p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?|(?:{_FIRST}) \p{{Lu}}\p{{L}}{{1,30}})(?!\p{{L}})"),
 )
-ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
-#: Texts without this hold no entity.
-TRIGGER = rf"[0-9@]|AKIA|(?i:password|passwd|secret|token|api.?key)|\p{{Lu}}\p{{L}}+\.? \p{{Lu}}"
+
+
+def _any(kinds: tuple[str, ...]) -> str:
+    return "|".join(f"(?={start})(?:{pattern})" for kind, start, pattern in PATTERNS if kind in kinds)
+
+
+ANY = _any(tuple(k for k, _, _ in PATTERNS))
+SPELLED = ("email", "name")
+
+
+def _may_hold_name(text: Column) -> Column:
+    """Two capitalised words in a row, or a short title: without them there is no name."""
+    out = text.rlike(rf"{_CAPITAL}\p{{L}}++ {_CAPITAL}")
+    for t in SHORT_TITLES:
+        out = out | F.contains(text, F.lit(f"{t}. "))
+    return out
+
+
+def _may_hold_any(text: Column) -> Column:
+    return text.rlike("[0-9@=:]") | _may_hold_name(text)
 
 
 def _keyed(key: str, kind: str, *parts: Column) -> Column:
@@ -214,7 +235,7 @@ def _name(m: Column, key: str, epoch: int) -> Column:
 
 def kind_of(m: Column) -> Column:
     out = F.lit("name")
-    for kind, pattern in reversed(PATTERNS[:-1]):
+    for kind, _, pattern in reversed(PATTERNS[:-1]):
         out = F.when(m.rlike(f"^(?:{pattern})$"), kind).otherwise(out)
     return out
 
@@ -232,10 +253,11 @@ def surrogate(m: Column, kind: Column, key: str, epoch: int = 0) -> Column:
     return out
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """``kind`` and ``value`` of each entity, once for each document."""
-    hit = F.when(F.col("text").rlike(TRIGGER), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
-    return docs.select(F.explode(F.array_distinct(hit)).alias("value")).select(kind_of(F.col("value")).alias("kind"), "value")
+def spelled_entities(docs: DataFrame) -> DataFrame:
+    """``kind`` and ``value`` of the names and addresses, once for each document."""
+    text = F.col("text")
+    hit = F.when(F.contains(text, F.lit("@")) | _may_hold_name(text), F.regexp_extract_all(text, F.lit(_any(SPELLED)), F.lit(0)))
+    return docs.select(F.explode(F.array_distinct(hit)).alias("value")).select(F.when(F.contains("value", F.lit("@")), "email").otherwise("name").alias("kind"), "value")
 
 
 def collisions(found: DataFrame, key: str, epoch: int) -> int:
@@ -247,7 +269,7 @@ def collisions(found: DataFrame, key: str, epoch: int) -> int:
     k = f"{key}/{epoch}" if epoch else key
     v = F.col("value")
     _, _, surname, script = _name_parts(v)
-    spelled = found.where(F.col("kind").isin("email", "name")).select(
+    spelled = found.select(
         "kind",
         F.when(F.col("kind") == "email", F.lower(v)).otherwise(F.lower(surname)).alias("entity"),
         F.when(F.col("kind") == "email", _email_core(v, k)).otherwise(_surname(surname, script, k, epoch)).alias("made"),
@@ -257,7 +279,7 @@ def collisions(found: DataFrame, key: str, epoch: int) -> int:
 
 def find_epoch(docs: DataFrame, key: str, most: int = 8) -> int:
     """The first epoch of the key under which distinct entities stay distinct; each spells longer surnames."""
-    found = entities(docs)
+    found = spelled_entities(docs)
     for epoch in range(most):
         if not collisions(found, key, epoch):
             return epoch
@@ -281,7 +303,7 @@ def pseudonymise(docs: DataFrame, key: str, epoch: int | None = None) -> DataFra
             ),
         )
 
-    hit = docs.withColumn("_pii", F.when(F.col("text").rlike(TRIGGER), rewrite(F.col("text"))))
+    hit = docs.withColumn("_pii", F.when(_may_hold_any(F.col("text")), rewrite(F.col("text"))))
     columns = [F.coalesce("_pii.text", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("pii_kinds", "n_pii")]
     return hit.select(*columns, F.coalesce("_pii.kinds", F.array().cast("array<string>")).alias("pii_kinds"), F.coalesce("_pii.n", F.lit(0)).alias("n_pii"))
 
