@@ -97,6 +97,8 @@ def _mix(docs: DataFrame, weights: Sequence[float], share: float, most: float, k
     edges = thresholds(sized, goal.where("source_size > 0").select("source", "budget"))
     edges = edges.select(F.col("source").alias("s2"), "threshold")
     plan = goal.join(edges, F.col("source").eqNullSafe(F.col("s2")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold"))
+    # written, the plan has a known size: one row for each source, broadcast below Spark's threshold
+    plan = materialise(plan.coalesce(1), "mix-plan")
     if not keep:
         copies = F.col("whole") + (F.col("hash") < F.col("threshold")).cast("long")
         return sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
