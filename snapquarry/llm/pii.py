@@ -8,9 +8,11 @@ the remainder of its check sum, an address its letter case and top-level domain,
 prefix and length, a name the gender and script of the first name and its letter case.
 
 Numbers go through a keyed Feistel permutation of the numbers of the same length, so two
-numbers never meet.  Names and addresses are spelled from a keyed hash; over all distinct
-entities of the corpus it is checked that no two share a replacement, and if two do, all are
-spelled anew under the next epoch of the key.  The driver learns how many met, nothing else.
+numbers never meet.  Listed first names are permuted by the key among those of their script and
+gender.  Other first names, surnames, addresses and secrets are spelled from a keyed hash; over
+all distinct entities of the corpus it is checked that no two share a whole replacement, and if
+two do, all are spelled anew, and longer, under the next epoch of the key; secrets of up to 36
+characters may then become longer than they were.  The driver learns how many met, nothing else.
 
 Defined results: a null text stays null, an empty one empty; repeated rows give equal rows;
 an empty table gives no rows; all columns of the input are kept; columns of the input named
@@ -19,6 +21,8 @@ like an added one are replaced.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +69,8 @@ def _any(kinds: tuple[str, ...]) -> str:
 
 
 ANY = _any(tuple(k for k, _, _ in PATTERNS))
-SPELLED = ("email", "name")
+SPELLED = ("email", "secret", "name")
+_LABEL = r"(?i:password|passwd|secret|token|api[_-]?key)"
 
 
 def _may_hold_name(text: Column) -> Column:
@@ -192,13 +197,25 @@ def _email(m: Column, key: str) -> Column:
     return _like_case(F.substring_index(m, "@", 1), _email_core(m, key))
 
 
-def _secret(m: Column, key: str) -> Column:
-    """The label is kept; the value becomes one of the same length, letter case and alphabet."""
-    label = F.when(m.startswith("AKIA"), F.lit("AKIA")).otherwise(F.regexp_extract(m, r"^(?i:password|passwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?", 0))
-    value = F.substr(m, F.length(label) + 1)
+def _secret_parts(m: Column) -> tuple[Column, Column]:
+    """Label with what follows it, value."""
+    label = F.when(m.startswith("AKIA"), F.lit("AKIA")).otherwise(F.regexp_extract(m, rf"^{_LABEL}\s*[=:]\s*[\"']?", 0))
+    return label, F.substr(m, F.length(label) + 1)
+
+
+def _secret_core(label: Column, value: Column, key: str, epoch: int) -> Column:
+    # short ones have too few replacements of their length for many to stay distinct; keys with a prefix have 16 places
+    n = F.length(value)
+    n = F.when(label == "AKIA", n).otherwise(F.greatest(n, F.lit(8 + 4 * epoch))) if epoch else n
     hex_ = F.concat(_keyed(key, "secret", value, F.lit(0)), _keyed(key, "secret", value, F.lit(1)))
-    made = F.substr(F.when(value.rlike("^[0-9]+$"), F.translate(hex_, "abcdef", "012345")).otherwise(hex_), F.lit(1), F.length(value))
-    return F.concat(label, _like_case(value, made))
+    made = F.substr(F.when(value.rlike("^[0-9]+$"), F.translate(hex_, "abcdef", "012345")).otherwise(hex_), F.lit(1), n)
+    return _like_case(value, made)
+
+
+def _secret(m: Column, key: str, epoch: int) -> Column:
+    """The label is kept; the value becomes one of the same length, letter case and alphabet."""
+    label, value = _secret_parts(m)
+    return F.concat(label, _secret_core(label, value, key, epoch))
 
 
 def _name_parts(m: Column) -> tuple[Column, Column, Column, Column]:
@@ -207,30 +224,49 @@ def _name_parts(m: Column) -> tuple[Column, Column, Column, Column]:
     rest = F.substr(m, F.length(title) + 1)
     first = F.when(F.contains(rest, F.lit(" ")), F.substring_index(rest, " ", 1)).otherwise("")
     surname = F.substring_index(rest, " ", -1)
-    script = F.when(surname.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(surname.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
-    return title, first, surname, script
+    return title, first, surname, _script(surname)
 
 
-def _surname(surname: Column, script: Column, key: str, epoch: int) -> Column:
-    hex_ = F.substring(_keyed(key, "surname", F.lower(surname), F.lit(epoch)), 1, 6 + epoch)
+def _script(word: Column) -> Column:
+    return F.when(word.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
+
+
+def _spell(hex_: Column, script: Column) -> Column:
     spell = lambda s: F.array_join(F.transform(F.split(hex_, ""), lambda c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, y in enumerate(SYLLABLES[s]) for x in (f"{i:x}", y)]), c), F.lit(""))), "")
     return F.initcap(F.when(script == "cyrillic", spell("cyrillic")).when(script == "greek", spell("greek")).otherwise(spell("latin")))
 
 
+def _surname(surname: Column, script: Column, key: str, epoch: int) -> Column:
+    return _spell(F.substring(_keyed(key, "surname", F.lower(surname), F.lit(epoch)), 1, 6 + epoch), script)
+
+
+def _listed(key: str) -> dict[str, str]:
+    """A keyed permutation of the listed names of each script and gender, one cycle: none stays itself."""
+    out = {}
+    for names in NAMES.values():
+        order = sorted(names, key=lambda n: hashlib.sha256(f"{key}\x1ffirst\x1f{n}".encode()).hexdigest())
+        out |= {n.lower(): m for n, m in zip(order, order[1:] + order[:1], strict=True)}
+    return out
+
+
+def _first(title: Column, first: Column, key: str, epoch: int) -> Column:
+    """Listed names are permuted; others are spelled, with an ending for the gender that the title tells."""
+    low = F.lower(first)
+    female = F.regexp_replace(F.trim(title), r"\.$", "").isin(TITLES["f"])
+    script = _script(first)
+    ending = lambda f, m: F.when(female, f).otherwise(m)
+    spelled = F.concat(
+        _spell(F.substring(_keyed(key, "first", low, F.lit(epoch)), 1, 6 + epoch), script),
+        F.when(script == "cyrillic", ending("на", "н")).when(script == "greek", ending("να", "ς")).otherwise(ending("na", "n")),
+    )
+    listed = F.create_map(*[F.lit(x) for pair in _listed(key).items() for x in pair])
+    return F.when(first == "", "").otherwise(F.coalesce(F.try_element_at(listed, low), spelled))
+
+
 def _name(m: Column, key: str, epoch: int) -> Column:
     title, first, surname, script = _name_parts(m)
-    bare = F.regexp_replace(F.trim(title), r"\.$", "")
-    female = F.when(title != "", bare.isin(TITLES["f"])).otherwise(first.isin([n for (_, g), ns in NAMES.items() if g == "f" for n in ns]))
-    # a title and a first name of the other gender do not meet in one pool: the first name decides if it is a known one
-    known = first.isin([n for ns in NAMES.values() for n in ns])
-    female = F.when(known, first.isin([n for (_, g), ns in NAMES.items() if g == "f" for n in ns])).otherwise(female)
-    pick = lambda s, g: F.element_at(F.array(*[F.lit(n) for n in NAMES[s, g]]), (F.pmod(_number(_keyed(key, "first", first)), F.lit(len(NAMES[s, g]))) + 1).cast("int"))
-    chosen = F.lit("")
-    for s in ("greek", "cyrillic", "latin"):
-        one = F.when(female, pick(s, "f")).otherwise(pick(s, "m"))
-        chosen = one if s == "greek" else F.when(script == s, one).otherwise(chosen)
-    new_surname = _surname(surname, script, key, epoch)
-    return F.concat(title, F.when(first != "", F.concat(chosen, F.lit(" "))).otherwise(""), _like_case(surname, new_surname))
+    new_first = _like_case(first, _first(title, first, key, epoch))
+    return F.concat(title, F.when(first != "", F.concat(new_first, F.lit(" "))).otherwise(""), _like_case(surname, _surname(surname, script, key, epoch)))
 
 
 def kind_of(m: Column) -> Column:
@@ -244,7 +280,7 @@ def surrogate(m: Column, kind: Column, key: str, epoch: int = 0) -> Column:
     """The replacement of a matched entity."""
     key = f"{key}/{epoch}" if epoch else key
     made = {
-        "email": _email(m, key), "secret": _secret(m, key), "ip": _ip(m, key), "phone": _phone(m, key),
+        "email": _email(m, key), "secret": _secret(m, key, epoch), "ip": _ip(m, key), "phone": _phone(m, key),
         "ssn": _fill(m, _permute_digits(_digits(m), key, "ssn")), "card": _card(m, key), "name": _name(m, key, epoch),
     }
     out = F.lit(None).cast("string")
@@ -254,31 +290,36 @@ def surrogate(m: Column, kind: Column, key: str, epoch: int = 0) -> Column:
 
 
 def spelled_entities(docs: DataFrame) -> DataFrame:
-    """``kind`` and ``value`` of the names and addresses, once for each document."""
+    """``kind`` and ``value`` of the names, addresses and secrets that are replaced, once for each document."""
     text = F.col("text")
-    hit = F.when(F.contains(text, F.lit("@")) | _may_hold_name(text), F.regexp_extract_all(text, F.lit(_any(SPELLED)), F.lit(0)))
-    return docs.select(F.explode(F.array_distinct(hit)).alias("value")).select(F.when(F.contains("value", F.lit("@")), "email").otherwise("name").alias("kind"), "value")
+    may = F.contains(text, F.lit("@")) | F.contains(text, F.lit("AKIA")) | text.rlike(rf"{_LABEL}\s{{0,3}}[=:]") | _may_hold_name(text)
+    hit = F.when(may, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    return docs.select(F.explode(F.array_distinct(hit)).alias("value")).select(kind_of(F.col("value")).alias("kind"), "value").where(F.col("kind").isin(*SPELLED))
 
 
 def collisions(found: DataFrame, key: str, epoch: int) -> int:
     """How many replacements stand for more than one entity, over the whole corpus.
 
-    Names count by surname and addresses without regard to case: those are the parts that
-    are spelled from hashes.  Numbers cannot meet; the hashes of secrets are as long as they.
+    Names count whole, first name with surname, and their surnames, which may stand alone, by
+    themselves; addresses and names without regard to case.  Numbers cannot meet.
     """
     k = f"{key}/{epoch}" if epoch else key
     v = F.col("value")
-    _, _, surname, script = _name_parts(v)
-    spelled = found.select(
-        "kind",
-        F.when(F.col("kind") == "email", F.lower(v)).otherwise(F.lower(surname)).alias("entity"),
-        F.when(F.col("kind") == "email", _email_core(v, k)).otherwise(_surname(surname, script, k, epoch)).alias("made"),
+    title, first, surname, script = _name_parts(v)
+    label, secret = _secret_parts(v)
+    new_surname = _surname(surname, script, k, epoch)
+    one = lambda kind, entity, made: F.struct(F.lit(kind).alias("kind"), entity.alias("entity"), made.alias("made"))
+    spelled = (
+        F.when(F.col("kind") == "email", F.array(one("email", F.lower(v), _email_core(v, k))))
+        .when(F.col("kind") == "secret", F.array(one("secret", secret, _secret_core(label, secret, k, epoch))))
+        .otherwise(F.array(one("surname", F.lower(surname), new_surname), one("name", F.lower(F.concat_ws(" ", first, surname)), F.concat_ws(" ", _first(title, first, k, epoch), new_surname))))
     )
-    return spelled.groupBy("kind", "made").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).where("a <> b").count()
+    each = found.distinct().select(F.explode(spelled).alias("x")).select("x.*")
+    return each.groupBy("kind", "made").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).where("a <> b").count()
 
 
 def find_epoch(docs: DataFrame, key: str, most: int = 8) -> int:
-    """The first epoch of the key under which distinct entities stay distinct; each spells longer surnames."""
+    """The first epoch of the key under which distinct entities stay distinct; each spells longer names and secrets."""
     found = spelled_entities(docs)
     for epoch in range(most):
         if not collisions(found, key, epoch):

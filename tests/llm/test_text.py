@@ -103,6 +103,22 @@ def test_collisions_are_found_and_resolved(spark, monkeypatch):
     assert pii.find_epoch(names, "k") >= 1
 
 
+def test_first_names_and_secrets_stay_distinct(spark, monkeypatch):
+    listed = [n for ns in pii.NAMES.values() for n in ns]
+    rows = [f"{n} Smith" for n in listed] + [f"Mr {n.title()} Smith" for n in ("Zed", "Quentin", "Ivo", "Borat", "Egon")]
+    made = [r["text"] for r in pii.pseudonymise(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string"), "snapquarry").collect()]
+    assert len(set(made)) == len(rows) and not any(m.split()[-2] == t.split()[-2] for m, t in zip(made, rows, strict=True))
+    for ns in pii.NAMES.values():
+        assert sorted(pii._listed("k")[n.lower()] for n in ns) == sorted(ns)
+    secrets = spark.range(300).select(F.format_string("token=%08d", F.col("id")).alias("text"))
+    assert pii.find_epoch(secrets, "k") == 0
+    hashed = pii._keyed
+    monkeypatch.setattr(pii, "_keyed", lambda key, kind, *parts: F.rpad(F.substring(hashed(key, kind, *parts), 1, 64 if "/" in key else 1), 64, "0"))
+    assert pii.collisions(pii.spelled_entities(secrets), "k", 0) > 0 and pii.find_epoch(secrets, "k") >= 1
+    people = spark.createDataFrame([(f"Mr {c}{d}zed Smith",) for c in "ABCDEFGH" for d in "abcdefgh"], "text string")
+    assert pii.collisions(pii.spelled_entities(people), "k", 0) > 0
+
+
 # licences
 
 
