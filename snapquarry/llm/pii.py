@@ -14,6 +14,12 @@ all distinct entities of the corpus it is checked that no two share a whole repl
 two do, all are spelled anew, and longer, under the next epoch of the key; secrets of up to 36
 characters may then become longer than they were.  The driver learns how many met, nothing else.
 
+A secret ends where its quotes close, or at white space; marks that end a sentence or a
+bracket stay.  Telephone numbers are those with + or 00 and a country code, those with a
+trunk 0 and groups, and North American ones in groups; the country code is that of the
+prefix table, and 00, a trunk 0 and (0) do not count as digits of the number.  Plain runs of
+digits without either are no telephone numbers.
+
 Defined results: a null text stays null, an empty one empty; repeated rows give equal rows;
 an empty table gives no rows; all columns of the input are kept; columns of the input named
 like an added one are replaced.
@@ -52,13 +58,37 @@ _FIRST = "|".join(n for ns in NAMES.values() for n in ns)
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞĀ-ſΆ-ΫЀ-Я]"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_LABEL = r"(?i:password|passwd|secret|token|api[_-]?key)"
+#: Of a secret: to the closing quote, else to white space.
+_VALUE = r"""(?:"[^"\r\n]{8,}(?=")|'[^'\r\n]{8,}(?='(?!\p{L}))|["']?[^\s"'][^\s"]{6,}[^\s"'.,;)\]}])"""
+#: Country codes, none of them the start of another.
+_COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+#: Between two digits of a telephone number.
+_GAP = r"[ \u00a0./()\u2011-]{0,3}"
+_MORE = rf"(?:{_GAP}[0-9])"
+_TRUNK = r"(?:[ .-]?\(0\))?"
+_NORTH = r"(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4}|[2-9][0-9]{2} [2-9][0-9]{2}[ -][0-9]{4})"
+_PHONE = "|".join(
+    (
+        # numbers of one length, so that what follows is not taken for a part
+        rf"\+(?:1|7|30|44|52|90|91){_TRUNK}{_MORE}{{10}}(?![0-9])",
+        rf"\+(?:31|33|34|41|48|61|351|420){_TRUNK}{_MORE}{{9}}(?![0-9])",
+        rf"\+(?:45|47|65|852){_MORE}{{8}}(?![0-9])",
+        rf"\+[0-9]{_MORE}{{6,14}}",
+        # a gap must be there behind 00 and the country code
+        rf"00[ .-]?(?=[1-9]){_COUNTRY}[ ./(-]{_MORE}{{6,12}}",
+        rf"(?:1[ .-])?{_NORTH}(?!-[0-9]|\.[0-9])",
+        # 9 to 12 digits behind a trunk 0 and in groups, no date
+        r"\(?(?=0[1-9])(?!0[1-9][./-][0-9]{1,2}[./-][0-9]{4}(?![0-9]))(?=[0-9](?:[ ./()-]{0,2}[0-9]){8,11}(?![ ./-]?[0-9]))[0-9]{2,5}(?:\)?[ ./-]{1,2}[0-9]{2,8}|\)[0-9]{3,8})(?:[ ./-][0-9]{2,8}){0,4}",
+    )
+)
 #: Kind, a class of characters it starts with, pattern; the first that matches at a place counts.
 PATTERNS = (
     ("email", r"[A-Za-z0-9._%+-]", r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
-    ("secret", r"[AaPpSsTt]", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[0-9A-Za-z+/_-]{8,128})"),
+    ("secret", r"[AaPpSsTt]", rf"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{{16}}(?![0-9A-Za-z])|{_LABEL}\s{{0,3}}[=:]\s{{0,3}}{_VALUE})"),
     ("ip", r"[0-9]", rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"),
-    ("phone", r"[+(]", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4})(?![0-9])"),
     ("ssn", r"[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    ("phone", r"[+(0-9]", rf"(?<![0-9A-Za-z+]|[0-9][.-])(?:{_PHONE})(?![0-9])"),
     ("card", r"[0-9]", r"(?<![0-9A-Za-z-])(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?![0-9A-Za-z]|-[0-9])"),
     ("name", _CAPITAL, rf"(?<!\p{{L}})(?:(?:(?:{'|'.join(SHORT_TITLES)})\.|(?:{_TITLE})) \p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?|(?:{_FIRST}) \p{{Lu}}\p{{L}}{{1,30}})(?!\p{{L}})"),
 )
@@ -70,7 +100,6 @@ def _any(kinds: tuple[str, ...]) -> str:
 
 ANY = _any(tuple(k for k, _, _ in PATTERNS))
 SPELLED = ("email", "secret", "name")
-_LABEL = r"(?i:password|passwd|secret|token|api[_-]?key)"
 
 
 def _may_hold_name(text: Column) -> Column:
@@ -166,9 +195,10 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    country = F.when(m.startswith("+"), F.regexp_extract(m, r"^\+[0-9]{1,3}", 0)).otherwise("")
-    rest = F.substr(m, F.length(country) + 1)
-    return F.concat(country, _fill(rest, _permute_digits(_digits(rest), key, "phone")))
+    """Country code and trunk 0 stay, so the rest is the same number in any form."""
+    fixed = F.regexp_extract(m, rf"^(?:(?:\+|00[ .-]?){_COUNTRY}{_TRUNK}|1[ .-]|\(?0(?=[1-9][0-9/. )-]*$)(?!{_NORTH}$))", 0)
+    rest = F.substr(m, F.length(fixed) + 1)
+    return F.concat(fixed, _fill(rest, _permute_digits(_digits(rest), key, "phone")))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -207,7 +237,7 @@ def _secret_core(label: Column, value: Column, key: str, epoch: int) -> Column:
     # short ones have too few replacements of their length for many to stay distinct; keys with a prefix have 16 places
     n = F.length(value)
     n = F.when(label == "AKIA", n).otherwise(F.greatest(n, F.lit(8 + 4 * epoch))) if epoch else n
-    hex_ = F.concat(_keyed(key, "secret", value, F.lit(0)), _keyed(key, "secret", value, F.lit(1)))
+    hex_ = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 64).cast("int")), lambda i: _keyed(key, "secret", value, i)), "")
     made = F.substr(F.when(value.rlike("^[0-9]+$"), F.translate(hex_, "abcdef", "012345")).otherwise(hex_), F.lit(1), n)
     return _like_case(value, made)
 
@@ -272,7 +302,9 @@ def _name(m: Column, key: str, epoch: int) -> Column:
 def kind_of(m: Column) -> Column:
     out = F.lit("name")
     for kind, _, pattern in reversed(PATTERNS[:-1]):
-        out = F.when(m.rlike(f"^(?:{pattern})$"), kind).otherwise(out)
+        # the quote that ends a secret is not part of it
+        whole = rf"^(?:AKIA[0-9A-Z]{{16}}$|{_LABEL}\s{{0,3}}[=:])" if kind == "secret" else f"^(?:{pattern})$"
+        out = F.when(m.rlike(whole), kind).otherwise(out)
     return out
 
 

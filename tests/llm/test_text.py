@@ -103,6 +103,28 @@ def test_collisions_are_found_and_resolved(spark, monkeypatch):
     assert pii.find_epoch(names, "k") >= 1
 
 
+def test_secrets_go_whole_and_numbers_in_any_form(spark):
+    long, jwt = "Ab1_" * 50, "eyJhbGciOi.eyJzdWIiOi.sig-Na_ture"
+    rows = [f"token={long} x", f"token: {jwt}, x", "password: P@ssw0rd! x", 'secret = "two words, more" x', "token=abcdefgh1234. Next", "(api_key=abcdefgh1234)"]
+    phones = ["+15551234567", "+1 555 123 4567", "+1 (555) 123-4567", "(555) 123-4567", "555-123-4567", "555.123.4567", "1-555-123-4567", "+1-555-123-4567 2024"]
+    more = ["+33 6 12 34 56 78", "06 12 34 56 78", "06.12.34.56.78", "0033 6 12 34 56 78", "+33 (0)6 12 34 56 78", "+49 30 123456", "030 123456", "(030) 123456", "030/123456", "415-555-2671", "415.555.2671", "+44 20 7946 0958", "020 7946 0958"]
+    plain = ["On 01.02.2023 and 05-06-2020, 2020-05-06, 01/02/2023.", "Pi is 3.14159265, 1 000 000 of them, 100 200 3000", "ISBN 978-3-16-148410-0, 007, 1990-1995, 00:12:33"]
+    texts = rows + phones + more + plain
+    made = [r["text"] for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    for secret in ("Ab1_", "eyJ", "sig", "P@ss", "w0rd", "words", "more", "abcd"):
+        assert not any(secret in t for t in made[:6]), secret
+    assert re.fullmatch("token=[0-9a-f]{200} x", made[0]) and re.fullmatch(rf"token: [0-9a-f]{{{len(jwt)}}}, x", made[1]) and re.fullmatch('secret = "[0-9a-f]{15}" x', made[3])
+    assert made[4][6:18] == made[5][9:21] and made[4].endswith(". Next") and made[5].endswith(")")
+    digits = [re.sub("[^0-9]", "", t) for t in made[6:-3]]
+    one = digits[0][1:]
+    assert one != "5551234567" and digits[: len(phones)] == [f"1{one}"] * 3 + [one] * 3 + [f"1{one}", f"1{one}2024"]
+    for changed, t in zip(made[6 + len(phones) : -3], more, strict=True):
+        assert changed != t and re.sub("[0-9]", "0", changed) == re.sub("[0-9]", "0", t), t
+    m = digits[len(phones) :]
+    assert m[0][2:] == m[1][1:] == m[2][1:] == m[3][4:] == m[4][3:] and m[5][2:] == m[6][1:] == m[7][1:] == m[8][1:] and m[11][2:] == m[12][1:]
+    assert made[-3:] == plain
+
+
 def test_first_names_and_secrets_stay_distinct(spark, monkeypatch):
     listed = [n for ns in pii.NAMES.values() for n in ns]
     rows = [f"{n} Smith" for n in listed] + [f"Mr {n.title()} Smith" for n in ("Zed", "Quentin", "Ivo", "Borat", "Egon")]
