@@ -4,7 +4,8 @@ Each tree hashes a vector to a string of 64 bits, one for the side of each of 64
 hyperplanes through the middle of a bounded sample, and keeps the strings in a sorted
 array.  A query descends in every tree to its longest matching prefix, of whatever length,
 and all trees then ascend together, one bit at a time, until their ranges hold ``postings``
-entries for each row of the array.  The candidates get exact distances.
+entries for each row of the array and, of rows with other ids than the query's, at least ``k``
+and ``share`` of the array, or the root is reached.  The candidates get exact distances.
 
 The arrays are built over blocks of rows, so a task holds one block; all rows are indexed.
 Queries come in blocks of bounded size, each sent to all tasks; the ten best of each block
@@ -61,32 +62,31 @@ class SortedBlock:
         self.orders = np.argsort(strings, axis=1, kind="stable")
         self.strings = np.take_along_axis(strings, self.orders, axis=1)
 
-    def candidates(self, strings: np.ndarray, postings: float) -> list[np.ndarray]:
-        """For each query (column of ``strings``) a mask of rows."""
+    def candidates(self, strings: np.ndarray, query_ids: np.ndarray, postings: float, least: float) -> list[np.ndarray]:
+        """For each query (column of ``strings``) a mask of rows of other ids, ``least`` of them or all there are."""
         n, queries, wanted = len(self.ids), strings.shape[1], postings * len(self.ids)
-        first = np.zeros((len(strings), queries), np.int64)
-        last = np.full((len(strings), queries), n, np.int64)
+        masks = [np.zeros(0, bool)] * queries
         open_ = np.ones(queries, bool)
         for length in range(_BITS, -1, -1):
             rest = np.uint64((1 << (_BITS - length)) - 1)
             at = np.flatnonzero(open_)
             low = np.stack([np.searchsorted(s, q & ~rest, "left") for s, q in zip(self.strings, strings[:, at], strict=True)])
             high = np.stack([np.searchsorted(s, q | rest, "right") for s, q in zip(self.strings, strings[:, at], strict=True)])
-            done = ((high - low).sum(axis=0) >= wanted) | (length == 0)
-            first[:, at[done]], last[:, at[done]] = low[:, done], high[:, done]
-            open_[at[done]] = False
+            # a row has a posting in each tree, so enough postings may still be few rows
+            for j in np.flatnonzero(((high - low).sum(axis=0) >= wanted) | (length == 0)).tolist():
+                mask = np.zeros(n, bool)
+                for order, a, b in zip(self.orders, low[:, j].tolist(), high[:, j].tolist(), strict=True):
+                    mask[order[a:b]] = True
+                mask &= self.ids != query_ids[at[j]]
+                if length == 0 or np.count_nonzero(mask) >= least:
+                    masks[at[j]] = mask
+                    open_[at[j]] = False
             if not open_.any():
                 break
-        masks = []
-        for q in range(queries):
-            mask = np.zeros(n, bool)
-            for order, a, b in zip(self.orders, first[:, q].tolist(), last[:, q].tolist(), strict=True):
-                mask[order[a:b]] = True
-            masks.append(mask)
         return masks
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 24, postings: float = 1.2, sample_rows: int = 10_000, rows_per_block: int = 4096, queries_per_block: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 24, postings: float = 1.2, share: float = 0.5, sample_rows: int = 10_000, rows_per_block: int = 4096, queries_per_block: int = 4096) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the nearest rows found of ``vectors`` for each of ``queries``.
 
     Both have ``vec_id`` and ``embedding``.
@@ -120,8 +120,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 24,
                 index = SortedBlock(forest.value, ids, x)
                 out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for a in range(0, len(query_ids), 256):
-                    for q, mask in enumerate(index.candidates(strings[:, a : a + 256], postings), a):
-                        at = np.flatnonzero(mask & (ids != query_ids[q]))
+                    for q, mask in enumerate(index.candidates(strings[:, a : a + 256], query_ids[a : a + 256], postings, max(k, share * len(ids))), a):
+                        at = np.flatnonzero(mask)
                         far = np.sqrt(((x[at] - query_vectors[q]) ** 2).sum(axis=1))
                         best = np.lexsort((ids[at], far))[:k]
                         out.append((np.full(len(best), query_ids[q]), ids[at][best], far[best]))

@@ -45,6 +45,20 @@ def test_forest_edges(spark):
     assert prefix_forest.search(d.limit(0), d).count() == 0 and prefix_forest.search(d, d.where("vec_id = 1001")).count() == 0
 
 
+def test_forest_small_blocks_and_copies(spark):
+    x = vectors(20, 3)
+    for n in (2, 3, 5, 11, 20):
+        d = frame(spark, [(i, v.tolist(), 0) for i, v in enumerate(x[:n])]).coalesce(1)
+        got = {(r["query_id"], r["vec_id"]) for r in prefix_forest.search(d, d, k=30).collect()}
+        assert got == {(a, b) for a in range(n) for b in range(n) if a != b}, n
+    x = vectors(150, 4)
+    x[1:8] = x[0]
+    d = frame(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]).coalesce(1)
+    got = [r["vec_id"] for r in prefix_forest.search(d, d.where("vec_id = 0")).orderBy("rank").collect()]
+    far = np.sqrt(((x.astype(np.float64) - x[0]) ** 2).sum(axis=1))
+    assert got[:7] == list(range(1, 8)) and len(got) == 10 and len(set(got[7:]) & set(np.argsort(far, kind="stable")[8:11].tolist())) >= 2
+
+
 def brute(rows, least):
     ids = [r[0] for r in rows]
     x = np.array([r[1] for r in rows], np.float64)
