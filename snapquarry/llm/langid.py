@@ -3,12 +3,15 @@
 The blended-spectrum presence kernel of two texts counts the character n-grams, n from 1 to
 ``orders``, that both hold, divided by the root of the product of their own counts.  Some
 labelled texts are landmarks; the Nystrom map projects the kernel on them, and ridge
-regression, one language versus the rest, is fitted in the mapped space.  Scoring a batch is
-two matrix products: presence of n-grams by landmarks, then kernel values by languages.
+regression, one language versus the rest, is fitted in the mapped space.  Scoring adds up the
+landmarks' rows of a text's n-grams; a matrix product takes kernel values to languages.
 
-The n-grams that count are those of the labelled texts.  The labelled sample is bounded by
-``per_language`` rows of at most ``longest`` characters for each language, chosen by a hash
-of ``doc_id``; everything else reads whole texts of all rows.
+Letters are code points of the whole of Unicode, none of them capped or merged; n-grams of
+them are hashed into a space of fixed size.  The n-grams that count are those of the labelled
+texts.  The labelled sample is bounded by ``per_language`` rows for each language, fewer where
+there are more than 200 languages, chosen by a hash of ``doc_id``; of texts longer than
+``longest`` characters the sample takes the first so many.  Everything else reads whole texts
+of all rows.
 
 Defined results: a null text or one without letters gives ``und`` and score 0; if nothing
 can be learned every text gives ``und``; repeated rows give equal rows; ties go to the
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,45 +32,37 @@ from pyspark.sql import functions as F
 from .shared import table
 
 UNDETERMINED = "und"
-#: Code points above this share one symbol.
-_TOP = 0x3000
+#: N-grams are hashed to numbers of so many bits.
+_SPACE = 18
+#: At most so many labelled texts in all, at least one for each language.
+_SAMPLE = 80_000
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-class Alphabet:
-    """Characters of the sample as small numbers; 0 stands for all that are not letters, 1 for unknown letters."""
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
 
-    def __init__(self, texts: Sequence[str], most: int = 120):
-        seen: dict[str, int] = {}
-        for t in texts:
-            for c in set(t):
-                if c.isalpha() and ord(c) < _TOP:
-                    seen[c] = seen.get(c, 0) + 1
-        letters = sorted(seen, key=lambda c: (-seen[c], c))[:most]
-        self.table = np.array([1 if chr(i).isalpha() else 0 for i in range(_TOP)] + [1], np.int32)
-        for k, c in enumerate(letters):
-            self.table[ord(c)] = k + 2
-        self.size = len(letters) + 2
 
-    def encode(self, text: str) -> np.ndarray:
-        """Symbols of a text, with one 0 at either end and for each run of other characters."""
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-        s = self.table[np.minimum(points, _TOP)]
-        s = np.concatenate([[0], s, [0]])
-        return s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
+def _symbols(text: str) -> np.ndarray:
+    """Code points of the letters, with one 0 at either end and for each run of other characters."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    s = np.concatenate([[0], np.where(_letters()[points], points, 0), [0]]).astype(np.uint64)
+    return s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
 
 
-def _grams(symbols: np.ndarray, size: int, order: int) -> np.ndarray:
-    n = len(symbols) - order + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    out = symbols[:n].astype(np.int64)
-    for k in range(1, order):
-        out = out * size + symbols[k : k + n]
-    return out
+def _grams(symbols: np.ndarray, orders: int) -> Iterator[np.ndarray]:
+    """Hashes of the n-grams of each order."""
+    for order in range(1, orders + 1):
+        n = max(0, len(symbols) - order + 1)
+        out = np.full(n, order, np.uint64)
+        for k in range(order):
+            out = (out ^ symbols[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        yield ((out * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - _SPACE)).astype(np.int64)
 
 
 @dataclass
@@ -74,53 +70,50 @@ class Model:
     """What the executors need; its size depends on the sample's bounds and not on the data."""
 
     languages: list[str]
-    alphabet: Alphabet | None
-    lookup: list[np.ndarray]
+    orders: int
+    lookup: np.ndarray
     landmarks: np.ndarray
     landmark_norms: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
 
-    def presence(self, texts: Sequence[str]) -> np.ndarray:
-        """Which of the known n-grams each text holds."""
-        width = self.landmarks.shape[0]
-        out = np.zeros((len(texts), width + 1), np.float32)
-        for row, text in zip(out, texts, strict=True):
-            symbols = self.alphabet.encode(text)
-            for order, lookup in enumerate(self.lookup, 1):
-                row[lookup[_grams(symbols, self.alphabet.size, order)]] = 1
-        return out[:, :width]  # unknown n-grams landed behind
+    def present(self, text: str) -> np.ndarray:
+        """Which of the known n-grams a text holds."""
+        held = np.zeros(len(self.landmarks) + 1, bool)
+        for grams in _grams(_symbols(text), self.orders):
+            held[self.lookup[grams]] = True
+        return np.flatnonzero(held[:-1])  # unknown n-grams landed behind
 
-    def kernel(self, presence: np.ndarray) -> np.ndarray:
-        norms = np.sqrt(np.maximum(presence.sum(1), 1))
-        return (presence @ self.landmarks) / norms[:, None] / self.landmark_norms[None, :]
+    def kernel(self, present: Sequence[np.ndarray]) -> np.ndarray:
+        shared = np.stack([self.landmarks[p].sum(0, dtype=np.float32) for p in present])
+        norms = np.sqrt(np.maximum([len(p) for p in present], 1)).astype(np.float32)
+        return shared / norms[:, None] / self.landmark_norms[None, :]
 
     def scores(self, texts: Sequence[str]) -> np.ndarray:
-        return self.kernel(self.presence(texts)) @ self.weights + self.bias
+        return self.kernel([self.present(t) for t in texts]) @ self.weights + self.bias
 
 
 def fit(texts: Sequence[str], labels: Sequence[str], orders: int = 3, landmarks: int = 192, ridge: float = 1e-2) -> Model:
     """Fit on labelled texts; the landmarks are spread evenly over the languages."""
     languages = sorted(set(labels))
     if not texts or not languages:
-        return Model([], None, [], np.zeros((0, 0), np.float32), np.zeros(0, np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
-    alphabet = Alphabet(texts)
-    encoded = [alphabet.encode(t) for t in texts]
-    lookup, width = [], 0
-    for order in range(1, orders + 1):
-        kinds, counts = np.unique(np.concatenate([np.unique(_grams(s, alphabet.size, order)) for s in encoded]), return_counts=True)
-        kinds = kinds[counts >= 2] if len(texts) > 50 else kinds
-        index = np.full(alphabet.size**order, -1, np.int32)
-        index[kinds] = np.arange(width, width + len(kinds))
-        width += len(kinds)
-        lookup.append(index)
-    model = Model(languages, alphabet, lookup, np.zeros((width, 0), np.float32), np.zeros(0, np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
-    presence = model.presence(texts)
+        return Model([], orders, np.zeros(0, np.int32), np.zeros((0, 0), np.uint8), np.zeros(0, np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
+    counts = np.zeros(1 << _SPACE, np.int64)
+    for t in texts:
+        counts[np.unique(np.concatenate(list(_grams(_symbols(t), orders))))] += 1
+    kinds = np.flatnonzero(counts >= (2 if len(texts) > 50 else 1))
+    lookup = np.full(1 << _SPACE, -1, np.int32)
+    lookup[kinds] = np.arange(len(kinds))
+    model = Model(languages, orders, lookup, np.zeros((len(kinds), 0), np.uint8), np.zeros(0, np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
     by = {lang: [i for i, x in enumerate(labels) if x == lang] for lang in languages}
+    landmarks = max(landmarks, len(languages))
     chosen = [i for k in range(landmarks) for lang in languages for i in by[lang][k : k + 1]][:landmarks]
-    model.landmarks = np.ascontiguousarray(presence[chosen].T)
-    model.landmark_norms = np.sqrt(np.maximum(presence[chosen].sum(1), 1)).astype(np.float32)
-    k_nm = model.kernel(presence).astype(np.float64)
+    held = [model.present(texts[i]) for i in chosen]
+    model.landmarks = np.zeros((len(kinds), len(chosen)), np.uint8)
+    for k, p in enumerate(held):
+        model.landmarks[p, k] = 1
+    model.landmark_norms = np.sqrt(np.maximum([len(p) for p in held], 1)).astype(np.float32)
+    k_nm = np.concatenate([model.kernel([model.present(t)]) for t in texts]).astype(np.float64)
     k_mm = k_nm[chosen]
     values, vectors = np.linalg.eigh((k_mm + k_mm.T) / 2)
     keep = values > 1e-6 * values.max()
@@ -136,21 +129,24 @@ def fit(texts: Sequence[str], labels: Sequence[str], orders: int = 3, landmarks:
 def labelled_sample(docs: DataFrame, per_language: int = 400, longest: int = 20_000) -> tuple[list[str], list[str]]:
     """At most ``per_language`` labelled texts of each language, of rows that are not held out.
 
-    Counts by language first; then a hash threshold lets about twice the bound through,
-    and the bound is kept exactly on the driver.
+    Counts by language first; then a hash threshold lets about twice the bound through (all,
+    where a language has few), and the bound is kept exactly on the driver.
     """
-    usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).where(F.length("text").between(1, longest))
+    usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") > 0))
     hashed = usable.select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], []
-    limit = F.lit(None)
-    for lang, n in counts.items():
-        limit = F.when(F.col("lang") == lang, int(min(1.0, 2 * per_language / n) * (1 << 40))).otherwise(limit)
-    rows = hashed.where(F.col("h") < limit).sort("lang", "h", "text").limit(3 * per_language * len(counts)).collect()
+    per_language = max(1, min(per_language, _SAMPLE // len(counts)))
+    # a threshold that lets few through may let none through
+    limits = [(lang, int(min(1.0, max(2 * per_language, per_language + 20) / n) * (1 << 40))) for lang, n in counts.items()]
+    limit = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, most long"))
+    # the limit cuts only where ids repeat, and then from all languages; texts are cut behind the threshold
+    low = hashed.join(limit, "lang").where(F.col("h") < F.col("most")).select("lang", "h", (F.col("h") / F.col("most")).alias("part"), F.substring("text", 1, longest).alias("text"))
+    rows = low.sort("part", "lang", "text").limit(max(3 * per_language, per_language + 40) * len(counts)).collect()
     taken: dict[str, int] = {}
     texts, labels = [], []
-    for r in rows:
+    for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"])):
         if taken.get(r["lang"], 0) < per_language:
             taken[r["lang"]] = taken.get(r["lang"], 0) + 1
             texts.append(r["text"])

@@ -49,6 +49,25 @@ def test_langid_edges(spark):
     assert {r["lang_pred"] for r in langid.predict(d, langid.train(d.limit(0))).collect()} == {"und"}
 
 
+def test_langid_all_scripts_and_long_texts(spark):
+    rng = np.random.default_rng(5)
+    starts = {"zh": 0x4E00, "ja": 0x3041, "ko": 0xAC00, "hi": 0x0904, "ar": 0x0627, "el": 0x03B1, "ru": 0x0430, "ka": 0x10D0, "hy": 0x0561, "am": 0x1200, "th": 0x0E01, "yi": 0x05D0}
+    rows = []
+    for k, (lang, start) in enumerate(starts.items()):
+        for i in range(12):
+            text = " ".join("".join(chr(start + int(c)) for c in rng.integers(0, 24, 4)) for _ in range(30))
+            rows.append((100 * k + i, text, lang))
+    # two languages of one script above U+3000, one of them in long texts only
+    for i in range(12):
+        rows.append((5000 + i, "".join(chr(0x7000 + int(c)) for c in rng.integers(0, 24, 21_000)), "yue"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {(r["doc_id"], r["lang_pred"]) for r in langid.predict(d, langid.train(d)).collect()}
+    assert got == {(i, lang) for i, _, lang in rows}
+    many = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.format_string("l%03d", (F.col("id") % 250).cast("int")).alias("lang"))
+    learned = set(langid.labelled_sample(many, per_language=2)[1])
+    assert learned == {r["lang"] for r in many.where(~langid.held_out(F.col("doc_id"))).select("lang").distinct().collect()} and len(learned) > 200
+
+
 # personal data
 
 PEOPLE = [
