@@ -1,22 +1,27 @@
 """N-gram Jaccard join with Bayesian pruning of candidates.
 
 1. Each text becomes its set of five-word shingles; texts with equal sets are one class.
-2. Classes that agree in a band of five MinHash values meet.  Two sets of similarity 0.8
-   miss each other in all 25 bands with probability 5e-5, closer ones more rarely.
-3. Classes that meet, directly or through others, form a candidate group.  A group is cut
-   into blocks; each pair of blocks is one task's work, so no group is a task's alone.
-4. Within a pair of blocks MinHash values are compared 16 at a time.  A pair goes when the
-   posterior probability (uniform prior) that its similarity reaches the threshold falls
-   below ``tolerance``.
-5. What is left is verified by the exact sizes of intersection and union.
-
-Tasks return the number of links of each class and one link to the smallest class reached,
-never pairs, so the output is of the order of the classes however many pairs there are.
+2. Classes that agree in a band of five MinHash values meet in that band's bucket.  Two sets
+   of similarity 0.8 miss each other in all 25 bands with probability 5e-5, closer ones
+   more rarely.
+3. Within a bucket MinHash values (a byte of each) are compared 16 at a time.  A pair goes
+   when the posterior probability (uniform prior) that its similarity reaches the threshold
+   falls below ``tolerance``.  Only what stays connects: the components are candidate
+   groups, so texts that merely share a passage form none.
+4. The pairs within a group are verified by the exact sizes of intersection and union.  A
+   group is cut into blocks bounded by number and by shingles; each pair of blocks is a
+   piece of work of its own, so no group is a task's alone.
+
+Buckets hold numbers and sketches; shingle sets are made for members of candidate groups
+only.  Tasks return the number of links of each class and one link to the smallest class
+reached, never pairs, so the output is of the order of the classes however many pairs there
+are.
 
 Defined results: a text that is null, empty or without words links with nothing and is a
 class of its own; rows with equal texts, or equal ``doc_id``, or a null ``doc_id``, are
-documents of their own with a row each; ties in choosing whom to keep go to the smallest
-``doc_id``; an empty table gives no rows; other columns of the input are ignored.
+documents of their own with a row each; one row of each component is kept, the one with the
+smallest ``doc_id`` (nulls last), of equal ids the one with the smallest hash of its text, of
+equal rows any one; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -31,12 +36,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .candidates import candidate_groups, pairs_of_blocks
 from .components import connected_components
-from .itq import _runs, _smallest_linked
-from .shared import materialise, table
+from .runs import fixed_width, single_runs, smallest_linked
+from .shared import drop_table, materialise, table
 from .shingles import MinHash, grouped, shingle_sets
 
 HASHES, ROWS, STEP = 128, 5, 16
+#: Shingles of a block of a candidate group, unless a single set has more.
+_BLOCK_SHINGLES = 1 << 20
 
 
 def class_key(shingles: np.ndarray) -> bytes:
@@ -60,40 +68,48 @@ def least_matches(threshold: float, tolerance: float, hashes: int = HASHES, step
     return out
 
 
+def sketch(signature: np.ndarray) -> np.ndarray:
+    """The lowest byte of each MinHash value.  Bytes agree by chance too, so no pair is dropped for using them."""
+    return signature.astype(np.uint8)
+
+
+def band_hashes(signature: np.ndarray) -> np.ndarray:
+    """A number for each band of MinHash values."""
+    bands = HASHES // ROWS
+    turns = MinHash(ROWS, seed=5).turns
+    mixed = ((signature[: bands * ROWS].reshape(bands, ROWS).astype(np.uint64) + np.uint64(1)) * turns).sum(axis=1, dtype=np.uint64)
+    mixed ^= mixed >> np.uint64(29)
+    return ((mixed + np.arange(bands, dtype=np.uint64)) * turns[0]).view(np.int64)
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``key`` of the class (null without words) and ``signature``."""
+    """``row``, ``doc_id``, ``text_hash``, ``key`` of the class (null without words), number of shingles ``size``, ``sketch`` and ``bands``."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHash(HASHES)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in grouped(texts):
-                keys, signs = [], []
+                rows: list[tuple] = []
                 for s in shingle_sets(texts[a:b]):
-                    keys.append(class_key(s) if len(s) else None)
-                    signs.append(minhash.signature(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "key", "signature"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, key binary, signature binary")
-
-
-def _bands(signed: DataFrame) -> DataFrame:
-    """``node`` and ``band``: a row for each band of each text; equal texts give equal rows."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns = MinHash(ROWS, seed=5).turns
-        bands = HASHES // ROWS
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            s = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(batch.num_rows, HASHES)
-            parts = s[:, : bands * ROWS].reshape(len(s), bands, ROWS).astype(np.uint64) + np.uint64(1)
-            mixed = (parts * turns).sum(axis=2, dtype=np.uint64)
-            mixed ^= mixed >> np.uint64(29)
-            mixed = (mixed + np.arange(bands, dtype=np.uint64)) * turns[0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), bands)), pa.array(mixed.ravel().view(np.int64))], ["node", "band"])
+                    if len(s):
+                        signature = minhash.signature(s)
+                        rows.append((class_key(s), len(s), sketch(signature).tobytes(), band_hashes(signature)))
+                    else:
+                        rows.append((None, 0, None, None))
+                keys, sizes, sketches, bands = zip(*rows, strict=True)
+                kept = [batch.column(c).slice(a, b - a) for c in ("row", "doc_id", "text_hash")]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    ["row", "doc_id", "text_hash", "key", "size", "sketch", "bands"],
+                )
 
-    return signed.select(_node("key").alias("node"), "signature").mapInArrow(split, "node long, band long")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), "text")
+    return rows.mapInArrow(sign, "row long, doc_id long, text_hash long, key binary, size long, sketch binary, bands array<long>")
 
 
 def _node(key: str) -> Column:
@@ -123,85 +139,137 @@ def _possible(ids: DataFrame, column: str, most_bits: int = 24) -> Callable[[Col
     return lambda c: may(*places(c))
 
 
-def _compare(threshold: float, tolerance: float, group: list[str]):
+def alike(threshold: float, tolerance: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Which pairs of sketches the posterior does not rule out, looked at step by step."""
     needed = least_matches(threshold, tolerance)
 
-    def candidates(one: np.ndarray, two: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of rows that the first values do not rule out, then fewer with each step."""
-        equal = np.zeros((len(one), len(two)), np.uint8)
-        for k in range(STEP):
-            equal += one[:, k, None] == two[None, :, k]
-        hit = equal >= needed[0]
-        if same:
-            hit = np.triu(hit, 1)
-        i, j = np.nonzero(hit)
-        matches = equal[i, j].astype(np.int32)
-        for step, least in enumerate(needed[1:], 1):
-            if not len(i):
+    def test(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        left, matches = np.arange(len(one)), np.zeros(len(one), np.int32)
+        for step, least in enumerate(needed):
+            part = slice(step * STEP, (step + 1) * STEP)
+            matches = matches + np.count_nonzero(one[left, part] == two[left, part], axis=1)
+            stays = matches >= least
+            left, matches = left[stays], matches[stays]
+            if not len(left):
                 break
-            keep = np.empty(len(i), bool)
-            for a in range(0, len(i), 1 << 16):
-                s = slice(a, a + (1 << 16))
-                matches[s] += (one[i[s], step * STEP : (step + 1) * STEP] == two[j[s], step * STEP : (step + 1) * STEP]).sum(axis=1)
-                keep[s] = matches[s] >= least
-            i, j, matches = i[keep], j[keep], matches[keep]
-        return i, j
-
-    def verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        sizes = np.array([len(s) for s in sets])
-        both = np.empty(len(i), np.int64)
-        if len(i) > 1000 and sizes.sum() < 2_000_000:
-            # many pairs among few sets: intersections as products of a small presence matrix, by column slices
-            used = np.unique(np.concatenate([i, j]))
-            row = np.zeros(len(sets), np.int64)
-            row[used] = np.arange(len(used))
-            owner = np.repeat(np.arange(len(used)), sizes[used])
-            _, column = np.unique(np.concatenate([sets[u] for u in used]), return_inverse=True)
-            product = np.zeros((len(used), len(used)), np.float32)
-            for a in range(0, int(column.max()) + 1, 8192):
-                inside = (column >= a) & (column < a + 8192)
-                m = np.zeros((len(used), 8192), np.float32)
-                m[owner[inside], column[inside] - a] = 1
-                product += m @ m.T
-            both[:] = np.rint(product[row[i], row[j]])
-        else:
-            for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-                both[k] = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-        return both / (sizes[i] + sizes[j] - both) >= threshold
+        out = np.zeros(len(one), bool)
+        out[left] = True
+        return out
+
+    return test
+
+
+def _verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of sets reach the threshold, exactly."""
+    sizes = np.array([len(s) for s in sets])
+    both = np.empty(len(i), np.int64)
+    if len(i) > 1000:
+        # many pairs among few sets: intersections as products of a presence matrix, by column slices
+        used = np.unique(np.concatenate([i, j]))
+        row = np.zeros(len(sets), np.int64)
+        row[used] = np.arange(len(used))
+        owner = np.repeat(np.arange(len(used)), sizes[used])
+        _, column = np.unique(np.concatenate([sets[u] for u in used]), return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        product = np.zeros((len(used), len(used)), np.float32)
+        for a in range(0, int(column[-1]) + 1, 4096):
+            inside = slice(*np.searchsorted(column, [a, a + 4096]))
+            m = np.zeros((len(used), 4096), np.float32)
+            m[owner[inside], column[inside] - a] = 1
+            product += m @ m.T
+        both[:] = np.rint(product[row[i], row[j]])
+    else:
+        for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+            both[k] = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+    return both / (sizes[i] + sizes[j] - both) >= threshold
+
+
+def _verify(threshold: float, tolerance: float, group: list[str]):
+    test = alike(threshold, tolerance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, group):
-            if rows.num_rows < 2:
-                continue
+        for rows in single_runs(batches, group):
             keys = rows.column("key").to_pylist()
             once = [k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]]  # a class of equal rows may come from several tasks
+            if len(once) < 2:
+                continue
             if len(once) < len(keys):
-                rows, keys = rows.take(once), [keys[k] for k in once]
+                rows, keys = rows.take(pa.array(once)), [keys[k] for k in once]
             own, copies = rows.column("own").to_numpy(), rows.column("copies").to_numpy()
             x, y = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
-            signs = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint32).reshape(len(keys), HASHES)
+            sketches, raw = fixed_width(rows.column("sketch"), np.uint8, HASHES), rows.column("shingles")
             one, two = (np.arange(len(keys)),) * 2 if x == y else (np.flatnonzero(own == x), np.flatnonzero(own == y))
-            i, j = candidates(signs[one], signs[two], x == y)
-            i, j = one[i], two[j]
+            ones, twos = [], []
+            for k, r in enumerate(one.tolist()):
+                other = two[k + 1 :] if x == y else two
+                other = other[test(np.broadcast_to(sketches[r], (len(other), HASHES)), sketches[other])]
+                ones.append(np.full(len(other), r))
+                twos.append(other)
+            i, j = np.concatenate(ones), np.concatenate(twos)
             if not len(i):
                 continue
-            raw = rows.column("shingles")
             wanted = set(i.tolist()) | set(j.tolist())
             sets = [np.frombuffer(raw[k].as_buffer(), np.uint64) if k in wanted else np.zeros(0, np.uint64) for k in range(len(keys))]
-            keep = verified(sets, i, j)
+            keep = _verified(sets, i, j, threshold)
             i, j = i[keep], j[keep]
             if not len(i):
                 continue
             n = np.bincount(i, copies[j], len(keys)) + np.bincount(j, copies[i], len(keys))
-            roots = _smallest_linked(len(keys), i, j)
+            roots = smallest_linked(len(keys), i, j)
             at = np.flatnonzero(n).tolist()
             yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in at], pa.binary()), pa.array([keys[roots[k]] for k in at], pa.binary()), pa.array(n[at].astype(np.int64))], ["a", "b", "n"])
 
     return run
 
 
-def join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 256) -> DataFrame:
-    """``doc_id``, ``class_id``, ``n_links``, ``component_id`` and ``kept`` for each row of ``docs`` (``doc_id``, ``text``).
+def _groups(signed: DataFrame, threshold: float, tolerance: float, block: int) -> DataFrame:
+    """``node`` and ``group`` of the classes whose sketches are like another's."""
+    worded = signed.where("key IS NOT NULL").select(_node("key").alias("node"), "sketch", "bands")
+    entries = worded.select("node", F.explode("bands").alias("band"))
+    met = entries.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band")
+    hits = materialise(entries.join(met, "band", "left_semi").select("band", "node").distinct(), "ngram-hits")
+    meeting = hits.select("node").distinct()
+    sketches = worded.join(meeting, "node", "left_semi").groupBy("node").agg(F.max("sketch").alias("sketch"))
+    out = candidate_groups(hits.join(sketches, "node").select("band", "node", "sketch"), ["band"], alike(threshold, tolerance), np.uint8, HASHES, "ngram", block)
+    drop_table(hits)
+    return out
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketch and shingles of the texts of candidate groups."""
+    minhash, seen = MinHash(HASHES), set()
+    for batch in batches:
+        texts, wanted = batch.column("text").to_pylist(), batch.column("key").to_pylist()
+        for a, b in grouped(texts):
+            # a class comes once from each task, and from a text that is really its own
+            found = [(k, s) for k, s in zip(range(a, b), shingle_sets(texts[a:b]), strict=True) if class_key(s) == wanted[k] and not (wanted[k] in seen or seen.add(wanted[k]))]
+            at = pa.array([k for k, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(at) for c in ("key", "copies", "group", "blocks")), pa.array([sketch(minhash.signature(s)).tobytes() for _, s in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())],
+                ["key", "copies", "group", "blocks", "sketch", "shingles"],
+            )
+
+
+def _links(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold: float, tolerance: float, block: int) -> DataFrame:
+    """Verified links: each class's number of linked documents, and the smallest class that its block's links reach."""
+    found_in = classes.withColumn("node", _node("key")).join(groups, "node")
+    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("size") / _BLOCK_SHINGLES)).cast("int")
+    sizes = found_in.groupBy("group").agg(blocks.alias("blocks"))
+    members = materialise(found_in.join(sizes, "group").select("key", "first.doc_id", "first.text_hash", "copies", "group", "blocks"), "ngram-members")
+    # only the texts of classes in candidate groups are read again, each from the class's first row
+    possible = _possible(members, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_hash(F.col("text")).alias("hash"), "text").where(possible(F.col("id")))
+    again = texts.join(members, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))).select("text", "key", "copies", "group", "blocks")
+    payload = again.mapInArrow(_shingled, "key binary, copies long, group long, blocks int, sketch binary, shingles binary")
+    pairs = pairs_of_blocks(payload, "key", F.col("blocks"), ["group"], ["key", "copies", "sketch", "shingles"])
+    found = materialise(pairs.mapInArrow(_verify(threshold, tolerance, ["group", "x", "y"]), "a binary, b binary, n long"), "ngram-links")
+    drop_table(members)
+    return found
+
+
+def join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 1024) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``class_id``, ``n_links``, ``component_id`` and ``kept`` for each row of ``docs`` (``doc_id``, ``text``).
 
     ``class_id``: smallest ``doc_id`` with the same shingles; ``n_links``: other documents of
     similarity ``threshold`` or more, those of the same class included; ``component_id``:
@@ -209,52 +277,41 @@ def join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, block
     each component does.
     """
     signed = materialise(signatures(docs), "ngram-signatures")
-    worded = signed.where("key IS NOT NULL")
-    classes = materialise(worded.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "ngram-classes")
-    bands = _bands(worded)
-    met = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band", "low")
-    groups = connected_components(bands.join(met, "band").select(F.col("node").alias("a"), F.col("low").alias("b")), "ngram-groups")
-    groups = groups.select("node", F.col("component").alias("group"))
-    found_in = classes.withColumn("node", _node("key")).join(groups, "node")
-    sizes = found_in.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = materialise(found_in.join(sizes, "group").select("key", "rep", "copies", "group", "blocks"), "ngram-members")
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        minhash, seen = MinHash(HASHES), set()
-        for batch in batches:
-            texts, wanted = batch.column("text").to_pylist(), batch.column("key").to_pylist()
-            for a, b in grouped(texts):
-                # a class comes once from each task, and from a text that is really its own
-                found = [(k, s) for k, s in zip(range(a, b), shingle_sets(texts[a:b]), strict=True) if class_key(s) == wanted[k] and not (wanted[k] in seen or seen.add(wanted[k]))]
-                at = pa.array([k for k, _ in found], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).take(at) for c in ("key", "copies", "group", "blocks")), pa.array([minhash.signature(s).tobytes() for _, s in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())],
-                    ["key", "copies", "group", "blocks", "signature", "shingles"],
-                )
-
-    # only the texts of classes that met something are read again
-    possible = _possible(members, "rep")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(possible(F.col("doc_id")))
-    again = texts.join(members, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "key", "copies", "group", "blocks")
-    payload = again.mapInArrow(shingled, "key binary, copies long, group long, blocks int, signature binary, shingles binary")
-    dealt = payload.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-    order = ["group", "x", "y"]
-    pairs = dealt.select(*order, "own", "key", "copies", "signature", "shingles").repartition(*order).sortWithinPartitions(*order, "key")
-    found = materialise(pairs.mapInArrow(_compare(threshold, tolerance, order), "a binary, b binary, n long"), "ngram-links")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash", "row"))
+    classes = materialise(signed.where("key IS NOT NULL").groupBy("key").agg(first.alias("first"), F.count("*").alias("copies"), F.max("size").alias("size")), "ngram-classes")
+    groups = _groups(signed, threshold, tolerance, block)
+    found = _links(docs, classes, groups, threshold, tolerance, block)
+    drop_table(groups)
 
     parts = connected_components(found.select("a", "b"), "ngram").select(F.col("node").alias("key"), F.col("component").alias("part"))
     links = found.groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
-    known = classes.select("key", "rep", "copies").join(links, "key", "left").join(parts, "key", "left").withColumn("part", F.coalesce("part", "key"))
-    smallest = known.groupBy("part").agg(F.min("rep").alias("component_id"))
-    known = materialise(known.join(smallest, "part").select("key", "rep", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "ngram-known")
-    rows = signed.select("doc_id", "key").join(known, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select(
-        "doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("rep")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"), (F.col("key").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"),
-    )
+    known = classes.select("key", "first", "copies").join(links, "key", "left").join(parts, "key", "left").withColumn("part", F.coalesce("part", "key"))
+    smallest = known.groupBy("part").agg(F.min("first").alias("least"))
+    known = known.join(smallest, "part").select("key", F.col("first.doc_id").alias("class_id"), F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("kept_row"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = materialise(known, "ngram-known")
+    for gone in (found, parts, classes):
+        drop_table(gone)
+    linked = signed.where("key IS NOT NULL").join(known, "key").select("doc_id", "text_hash", "class_id", F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("row") == F.col("kept_row")).alias("kept"))
+    alone = signed.where("key IS NULL").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.unionByName(alone)
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
+
+
+# Every pair of documents by their shingles; ids are unique in the tables that this is run on.
+ORACLE = r"""
+WITH RECURSIVE
+d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) AS i FROM d)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.r <> b.r GROUP BY ALL),
+l AS (SELECT a, b, c = x.n AND c = y.n AS same FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE c / (x.n + y.n - c) >= 0.8),
+reach(a, b) AS (SELECT r, r FROM d UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+root AS (SELECT a AS r, min(b) AS component FROM reach GROUP BY a),
+links AS (SELECT a AS r, count(*) AS n_links, min(b) FILTER (same) AS twin FROM l GROUP BY a)
+SELECT d.doc_id, t.doc_id AS class_id, coalesce(n_links, 0)::BIGINT AS n_links, c.doc_id AS component_id, d.r = component AS kept
+FROM d JOIN root USING (r) LEFT JOIN links USING (r) JOIN d t ON t.r = least(d.r, coalesce(twin, d.r)) JOIN d c ON c.r = component
+"""

@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_fixity": warc.ORACLE,
+    "op7_ngram_join": ngram_join.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op10_licenses": licenses.ORACLE,
 }

@@ -2,8 +2,8 @@
 
 Intermediate tables go to the folder the cluster names in ``spark.checkpoint.dir``,
 which the driver and all executors see, so a lost executor costs a re-run of its
-tasks and nothing else.  Only where that setting is absent (tests, notebooks) is a
-temporary folder created and set.
+tasks and nothing else.  Only where that setting is absent and driver and executors are one
+process (tests, notebooks) is a temporary folder created and set.
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, taken from the session; set here only where it is unset."""
+    """The shared folder, taken from the session; set here only where it is unset and Spark runs in one process."""
     root = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not root:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError(f"set {_SETTING} to a folder that the driver and all executors see")
         root = "file://" + tempfile.mkdtemp(prefix="snapquarry-")
         spark.conf.set(_SETTING, root)
         spark.sparkContext.setCheckpointDir(root)

@@ -275,9 +275,32 @@ def test_join_edges(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (7, "A, b! c d e f"), (8, None), (8, None), (9, "q r s t u v w")]
     got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r["doc_id"]), r["n_links"], r["component_id"]) for r in got) == [("5", 3, 5), ("5", 3, 5), ("7", 3, 5), ("8", 0, 8), ("8", 0, 8), ("9", 0, 9), ("None", 3, 5)]
+    assert [r["kept"] for r in got].count(True) == 4  # one of each component, both texts without words
     assert ngram_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_join_without_ids_and_along_chains(spark):
+    rng = np.random.default_rng(8)
+    own = [" ".join(f"w{k}" for k in rng.integers(0, 5000, 40)) for _ in range(500)]
+    rows = [(None, t) for t in own for _ in range(4)]
+    # texts that share a passage with the next one only: many meet, none is similar
+    passages = [" ".join(f"p{k}" for k in rng.integers(0, 5000, 60)) for _ in range(60)]
+    rows += [(k, f"{a} {b}") for k, (a, b) in enumerate(zip(passages, passages[1:], strict=False))]
+    # a chain of near copies, its ends far apart
+    words_ = [f"c{k}" for k in rng.integers(0, 5000, 200)]
+    for k in range(30):
+        words_[k * 6 : k * 6 + 2] = [f"x{k}", f"y{k}"]
+        rows.append((1000 + k, " ".join(words_)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    n, root = brute_links(rows)
+    got = ngram_join.join(d).collect()
+    assert Counter((r["doc_id"], r["n_links"]) for r in got) == Counter((rows[k][0], n[k]) for k in range(len(rows)))
+    assert sum(r["kept"] for r in got) == len(set(root))
+    chain = [r for r in got if r["doc_id"] and r["doc_id"] >= 1000]
+    assert {r["component_id"] for r in chain} == {1000} and 1 < chain[0]["n_links"] < 29
+    assert all(r["n_links"] == 0 for r in got if r["doc_id"] is not None and r["doc_id"] < 1000)
+
+
 def test_shingles_do_not_depend_on_slices(monkeypatch):
     from snapquarry.llm import shingles
 
