@@ -24,16 +24,20 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest ``doc_id``; of equal rows one."""
+    """One document of each group of near copies stays, the one with the smallest ``doc_id`` (nulls last).
+
+    A verdict is joined by id and text; of rows that are equal in both, one stays if theirs is the one kept.
+    """
     judged = ngram_join.join(docs.select("doc_id", "text"))
-    by_id = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("stays"), F.count("*").alias("n"))
-    # ids that go or come several times; the others' texts need not move
-    marked = materialise(by_id.where("NOT stays OR n > 1").withColumnRenamed("doc_id", "id"), "pipeline-marked")
-    same = F.col("doc_id").eqNullSafe(F.col("id"))
-    single = docs.select(*COLUMNS).join(marked, same, "left_anti")
-    several = docs.select(*COLUMNS).join(marked.where("stays"), same, "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("n_chars"))
-    return single.unionByName(several.withColumn("_nth", nth).where("_nth = 1").select(*COLUMNS))
+    by_row = judged.groupBy("doc_id", "text_hash").agg(F.sum(F.col("kept").cast("long")).alias("stay"), F.count("*").alias("n"))
+    # rows that go, wholly or in part; the others' texts need not move
+    marked = materialise(by_row.where("stay < n").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "stay"), "pipeline-marked")
+    hashed = docs.select(*COLUMNS, ngram_join.text_hash(F.col("text")).alias("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("hash"))
+    single = hashed.join(marked, same, "left_anti")
+    several = hashed.join(marked.where("stay > 0"), same)
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy(F.struct("source", "lang", "n_chars")))
+    return single.select(*COLUMNS).unionByName(several.withColumn("_nth", nth).where("_nth <= stay").select(*COLUMNS))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
