@@ -4,9 +4,10 @@ A byte-pair tokenizer encodes each pre-token by itself, so the ids of a text are
 its pieces if no cut changes the pre-tokens.  The cuts here stand before single spaces and
 single newlines; texts with white space beside white space are encoded whole.  A piece of
 Latin letters, with or without punctuation behind, goes straight to the library's byte-pair
-model; any other piece goes through the whole tokenizer.  All ids come from the
-``tokenizers`` library; only repeated pieces are looked up.  The cache is bounded and
-emptied when full.
+model; any other piece goes through the whole tokenizer.  A text that may hold a special
+token's string is encoded whole, so that string gives what the library gives.  All ids come
+from the ``tokenizers`` library; only repeated pieces are looked up.  The cache is bounded by
+pieces and by their length, emptied when full and given back at the end of a task.
 """
 
 from __future__ import annotations
@@ -14,10 +15,13 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 
-_RUN = re.compile(r"\s\s")
+#: Characters of the longest piece that is kept.
+_LONGEST = 64
 #: Letters whose lower case and normal form are themselves or one such letter.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,80})([.,;:!?]{0,8})")
 
@@ -30,9 +34,9 @@ def _byte_symbols() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Encode texts to little-endian unsigned 32-bit ids.
+    """Encode texts to little-endian unsigned 32-bit ids, as ``encode(text, add_special_tokens=False)`` gives them.
 
-    Null texts count as empty.  The strings of special tokens are ordinary text.
+    Null texts count as empty.
     """
 
     def __init__(self, path: str, max_pieces: int = 500_000):
@@ -40,7 +44,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True
         self._model = self._tok.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -52,6 +55,11 @@ class WordEncoder:
             self._kind, self._newline = "words", b""
         else:
             self._kind = "whole"
+        # the start of each added token's string; normalising makes no such marks of other characters
+        added = {x["content"][:2] for x in spec.get("added_tokens") or []}
+        if not all(re.fullmatch(r"[!-/:-@\[-`{-~]{2}", x) for x in added):
+            self._kind = "whole"
+        self._added = re.compile("|".join([r"\s\s", *map(re.escape, sorted(added))]))
         self._symbols = _byte_symbols()
         self._cache: dict[str, bytes] = {}
         self._packed = [i.to_bytes(4, "little") for i in range(self._tok.get_vocab_size())]
@@ -82,22 +90,25 @@ class WordEncoder:
                     symbols = self._symbols[32] + symbols
                 packed = self._packed
                 ids = b"".join([packed[t.id] for t in self._model.tokenize(symbols)])
-                if marks:
+                if marks and len(stem) <= _LONGEST:
                     self._cache[stem] = self._newline + ids if head else ids
             end = self._marks.get(marks)
             if end is None:
+                if len(self._marks) > 10_000:
+                    self._marks.clear()
                 end = self._marks[marks] = self._whole(marks)
             ids += end
         return self._newline + ids if head else ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, packed; nulls give no ids."""
+        whole = self._added.search
         cache, out, skip = self._cache, [], 0 if self._kind == "whole" else len(self._newline)
         for text in texts:
             if not text:
                 out.append(b"")
                 continue
-            if self._kind == "whole" or _RUN.search(text):
+            if self._kind == "whole" or whole(text):
                 out.append(self._whole(text))
                 continue
             pieces = text.replace("\n", " \n").split(" ")
@@ -111,17 +122,28 @@ class WordEncoder:
                         if known is None:
                             if len(cache) >= self._max:
                                 cache.clear()
-                            known = cache[piece] = self._piece(piece)
+                            known = self._piece(piece)
+                            if len(piece) <= _LONGEST:
+                                cache[piece] = known
                         ids[i] = known
             out.append(b"".join(ids)[skip:])
         return out
 
 
+    def forget(self) -> None:
+        self._cache = {}
+        self._marks = {"": b""}
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each worker process and file."""
+@contextmanager
+def encoder(path: str) -> Iterator[WordEncoder]:
+    """One encoder for each worker process and file; what it learned in a task goes when the task ends."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    try:
+        yield _ENCODERS[path]
+    finally:
+        _ENCODERS[path].forget()

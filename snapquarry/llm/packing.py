@@ -101,21 +101,22 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> Dat
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, enc, end, ranks = TaskContext.get().partitionId(), encoder(tokenizer), np.array([end_id], "<u4").tobytes(), [0] * (window + 1)
-        for batch in batches:
-            ids_of = batch.column("doc_id").to_pylist()
-            for at, texts in _slices(batch, "text"):
-                rows: list[tuple] = []
-                for i, packed in enumerate(enc.encode(texts)):
-                    packed += end
-                    total = len(packed) // 4
-                    for start in range(0, total, window):
-                        length = min(window, total - start)
-                        rows.append((ids_of[at + i], start, length, zlib.crc32(packed[4 * start : 4 * (start + length)]), total, ranks[length]))
-                        ranks[length] += 1
-                columns = list(zip(*rows, strict=True)) or [()] * 6
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array(np.full(len(rows), part, np.int32))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank", "part"])
+        part, end, ranks = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes(), [0] * (window + 1)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        with encoder(tokenizer) as enc:
+            for batch in batches:
+                ids_of = batch.column("doc_id").to_pylist()
+                for at, texts in _slices(batch, "text"):
+                    rows: list[tuple] = []
+                    for i, packed in enumerate(enc.encode(texts)):
+                        packed += end
+                        total = len(packed) // 4
+                        for start in range(0, total, window):
+                            length = min(window, total - start)
+                            rows.append((ids_of[at + i], start, length, zlib.crc32(packed[4 * start : 4 * (start + length)]), total, ranks[length]))
+                            ranks[length] += 1
+                    columns = list(zip(*rows, strict=True)) or [()] * 6
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array(np.full(len(rows), part, np.int32))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank", "part"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, rank long, part int")
 

@@ -7,7 +7,7 @@ grows too large); row groups and pages are small enough, and their indexes compl
 enough, that a reader fetches the pages of some documents or only the metadata columns.
 
 Defined results: a null text is an empty one; repeated rows and equal ``doc_id`` values
-are all kept, ordered by text; rows with a null ``doc_id`` come first; an empty table
+are all kept, ordered by a hash of the text; rows with a null ``doc_id`` come first; an empty table
 gives empty files; other columns of the input are ignored.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encoder import encoder
-from .shared import shared_path
+from .shared import materialise, shared_path
 
 LAYOUT = {
     "compression": "zstd",
@@ -51,24 +51,29 @@ def _slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterato
 
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Tokens of each document, in ascending order, with running offsets in each partition."""
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # rows of one id are dealt by the hashes of their texts, equal rows by their place
+    rows = rows.withColumn("_hash", F.xxhash64("text")).withColumn("_nth", F.monotonically_increasing_id())
+    order = ["doc_id", "_hash", "text", "_nth"]
+    ordered = rows.repartitionByRange("doc_id", "_hash", "_nth").sortWithinPartitions(*order).select("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, start, enc, end = TaskContext.get().partitionId(), 0, encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for at, texts in _slices(batch, "text"):
-                packed = [ids + end for ids in enc.encode(texts)]
-                n = np.array([len(p) // 4 for p in packed], np.int64)
-                ends = np.cumsum(n)
-                values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, len(n)), pa.array(np.full(len(n), part, np.int32)), pa.array(start + ends - n), pa.array(n), lists],
-                    ["doc_id", "part", "start_in_part", "n_tokens", "ids"],
-                )
-                start += int(n.sum())
+        part, start, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        with encoder(tokenizer) as enc:
+            for batch in batches:
+                for at, texts in _slices(batch, "text"):
+                    packed = [ids + end for ids in enc.encode(texts)]
+                    n = np.array([len(p) // 4 for p in packed], np.int64)
+                    ends = np.cumsum(n)
+                    values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").slice(at, len(n)), pa.array(np.full(len(n), part, np.int32)), pa.array(start + ends - n), pa.array(n), lists],
+                        ["doc_id", "part", "start_in_part", "n_tokens", "ids"],
+                    )
+                    start += int(n.sum())
 
     return ordered.mapInArrow(encode, _SCHEMA)
 
@@ -79,19 +84,24 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, **layo
     return path
 
 
-def read_tokens(spark: SparkSession, path: str, doc_ids: tuple[int, int] | None = None, metadata_only: bool = False) -> DataFrame:
-    """Token rows with their ``start`` in the whole; ``doc_ids`` (inclusive) and ``metadata_only`` limit what is fetched.
+def _with_start(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` of ``files`` with their ``start`` in the whole, from the first offset of each part.
 
-    The first offset of each file part comes from the ``part`` and ``n_tokens`` columns
-    alone.  There is one row for each written partition, so it is broadcast.
+    There is one base for each written partition; Spark broadcasts them below its threshold.
     """
-    files = spark.read.schema(_SCHEMA).parquet(path)
     sizes = files.groupBy("part").agg(F.sum("n_tokens").alias("size"))
     bases = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("base"))
+    bases = materialise(bases.coalesce(1), "token-bases")
+    return rows.join(bases, "part").withColumn("start", F.col("base") + F.col("start_in_part")).drop("base", "part", "start_in_part")
+
+
+def read_tokens(spark: SparkSession, path: str, doc_ids: tuple[int, int] | None = None, metadata_only: bool = False) -> DataFrame:
+    """Token rows with their ``start`` in the whole; ``doc_ids`` (inclusive) and ``metadata_only`` limit what is fetched."""
+    files = spark.read.schema(_SCHEMA).parquet(path)
     rows = files.drop("ids") if metadata_only else files
     if doc_ids:
         rows = rows.where(F.col("doc_id").between(*doc_ids))
-    return rows.join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.col("start_in_part")).drop("base", "part", "start_in_part")
+    return _with_start(files, rows)
 
 
 def digest(tokens: DataFrame, *keep: str) -> DataFrame:
@@ -118,6 +128,5 @@ def op5_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = write_tokens(docs, shared_path(spark, "tokens"), tokenizer or public_tokenizers.path("word_bpe_49k.json"), end_id)
     files = spark.read.schema(_SCHEMA).parquet(path)
-    bases = files.groupBy("part").agg(F.sum("n_tokens").alias("size")).select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("base"))
     read = digest(files.withColumn("part", F.col("part").cast("long")), "doc_id", "part", "start_in_part")
-    return read.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), F.col("n_ids").alias("n_tokens"), "ids_crc32")
+    return _with_start(files, read).select("doc_id", "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")

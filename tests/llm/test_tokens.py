@@ -1,5 +1,6 @@
 import itertools
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -14,13 +15,11 @@ from snapquarry.llm.encoder import WordEncoder
 from snapquarry.llm.packing import _closest_fill, plan_fills
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
-ODD = ["", "\n", "a\n", "\na", "a\n\nb", "  x", "x ", "x\ty", "\tx", "a \nb", "a\n b", "Ünïcode ÉÀ ß ﬁ İstanbul K", " ", "é x́", "don't it's I'LL", "<|endoftext|> hi", "日本語 テスト", "a|b | c", 'x, y. z!? (a) "b"', "12 345 a1b2", "Aǅ Ω ς", "a\xa0b \xa0c", "x\x1fy z", "a , b .c", " \n ", "word,word, word"]
+ODD = ["", "\n", "a\n", "\na", "a\n\nb", "  x", "x ", "x\ty", "\tx", "a \nb", "a\n b", "Ünïcode ÉÀ ß ﬁ İstanbul K", " ", "é x́", "don't it's I'LL", "<|endoftext|> hi", "a<|endoftext|>b", "x <|startoftext|>\n<|ENDOFTEXT|> <|", "≮|endoftext|> <|endoftext|", "x" * 100 + " y", "日本語 テスト", "a|b | c", 'x, y. z!? (a) "b"', "12 345 a1b2", "Aǅ Ω ς", "a\xa0b \xa0c", "x\x1fy z", "a , b .c", " \n ", "word,word, word"]
 
 
 def exact(name: str) -> Tokenizer:
-    t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path(name))
 
 
 @pytest.mark.parametrize("name", FILES)
@@ -55,12 +54,11 @@ def test_token_files_round_trip(spark, docs, tmp_path):
     path = token_files.write_tokens(docs, str(tmp_path / "t"), P.path(FILES[1]), 2)
     rows = token_files.read_tokens(spark, path).orderBy("start").collect()
     ref, start = exact(FILES[1]), 0
-    expected = sorted(DOCS, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or ""))
-    assert [r["doc_id"] for r in rows] == [d[0] for d in expected]
-    for r, (_, text) in zip(rows, expected, strict=True):
-        ids = ref.encode(text or "", add_special_tokens=False).ids + [2]
-        assert (r["ids"], r["n_tokens"], r["start"]) == (ids, len(ids), start)
-        start += len(ids)
+    assert [r["doc_id"] for r in rows] == sorted((d[0] for d in DOCS), key=lambda i: (i is not None, i or 0))
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in rows) == Counter((i, (*ref.encode(text or "", add_special_tokens=False).ids, 2)) for i, text in DOCS)
+    for r in rows:
+        assert (r["n_tokens"], r["start"]) == (len(r["ids"]), start)
+        start += len(r["ids"])
     some = token_files.read_tokens(spark, path, (2, 3), metadata_only=True)
     assert "ids" not in some.columns and some.count() == 4
     assert token_files.read_tokens(spark, path, (9, 9)).first()["start"] == start - 3001
