@@ -33,5 +33,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_warc_fixity": warc.ORACLE,
     "op7_ngram_join": ngram_join.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op9_itq": itq.ORACLE,
     "op10_licenses": licenses.ORACLE,
 }

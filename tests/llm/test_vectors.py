@@ -93,7 +93,30 @@ def test_near_duplicates_match_brute_force(spark, block):
 
 def test_near_duplicates_edges(spark):
     one = [1.0, 2.0, 3.0]
-    d = frame(spark, [(4, one, 1), (4, one, 1), (2, [2.0, 4.0, 6.0], 1), (9, one, 2)])
-    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in itq.near_duplicates(d).collect())
-    assert got == [(2, 2, 2, True), (4, 2, 2, False), (4, 2, 2, False), (9, 0, 9, True)]
+    d = frame(spark, [(4, one, 1), (4, one, 1), (2, [2.0, 4.0, 6.0], 1), (2, one, 1), (9, one, 2), (None, one, 2), (5, [1.0] * 5, 2), (6, [3.0] * 5, 2), (7, [1e30] * 5, 2)])
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in itq.near_duplicates(d).collect())
+    assert got == [(0, 1, 9, False), (2, 3, 2, True), (2, 3, 2, True), (4, 3, 2, False), (4, 3, 2, False), (5, 2, 5, True), (6, 2, 5, False), (7, 2, 5, False), (9, 1, 9, True)]
     assert itq.near_duplicates(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("shift", [0.0, 0.9, 0.95])
+def test_no_links_are_missed_off_the_mean(spark, shift):
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    mean = unit(rng.normal(size=64)) * shift
+    x = unit(mean + unit(rng.normal(size=(1500, 64))) * np.sqrt(1 - shift**2))
+    pairs = x[:500]
+    aside = rng.normal(size=pairs.shape)
+    aside = unit(aside - (aside * pairs).sum(axis=1, keepdims=True) * pairs)
+    turn = np.arccos(rng.uniform(0.98001, 0.985, len(pairs)))[:, None]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, np.cos(turn) * pairs + np.sin(turn) * aside]))]
+    n, _ = brute(rows, 0.98)
+    got = {r["vec_id"]: r["n_links"] for r in itq.near_duplicates(frame(spark, rows)).collect()}
+    assert sum(got.values()) >= 0.995 * n.sum() > 0 and all(got[i] <= n[i] for i in got)
+
+
+def test_near_duplicate_tables_follow_the_rows():
+    data = np.random.default_rng(1).normal(size=(500, 32))
+    codes = [itq.Codes(data, n, 0.98, rounds=1) for n in (1000, 10**6, 10**9)]
+    assert [c.bits for c in codes] == [5, 15, 25] and codes[0].tables < codes[1].tables < codes[2].tables < 64
+    assert all(c.limit < 0.2 * c.length for c in codes)
