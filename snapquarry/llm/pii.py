@@ -56,7 +56,7 @@ SHORT_TITLES = ("Mr", "Mrs", "Ms", "Mme")
 
 _FIRST = "|".join(n for ns in NAMES.values() for n in ns)
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
-_CAPITAL = r"[A-ZÀ-ÖØ-ÞĀ-ſΆ-ΫЀ-Я]"
+_CAPITAL = r"\p{Lu}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _LABEL = r"(?i:password|passwd|secret|token|api[_-]?key)"
 #: Of a secret: to the closing quote, else to white space.
@@ -376,9 +376,10 @@ def pseudonymise(docs: DataFrame, key: str, epoch: int | None = None) -> DataFra
             ),
         )
 
-    hit = docs.withColumn("_pii", F.when(_may_hold_any(F.col("text")), rewrite(F.col("text"))))
-    columns = [F.coalesce("_pii.text", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("pii_kinds", "n_pii")]
-    return hit.select(*columns, F.coalesce("_pii.kinds", F.array().cast("array<string>")).alias("pii_kinds"), F.coalesce("_pii.n", F.lit(0)).alias("n_pii"))
+    # the input's columns lie in a struct, so no name of theirs clashes
+    hit = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.when(_may_hold_any(F.col("text")), rewrite(F.col("text"))).alias("found"))
+    columns = [F.coalesce("found.text", "row.text").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in ("pii_kinds", "n_pii")]
+    return hit.select(*columns, F.coalesce("found.kinds", F.array().cast("array<string>")).alias("pii_kinds"), F.coalesce("found.n", F.lit(0)).alias("n_pii"))
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str, key: str = "snapquarry") -> DataFrame:

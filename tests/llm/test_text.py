@@ -104,6 +104,13 @@ def test_surrogates(spark):
     assert pii.pseudonymise(d.limit(0), "key").count() == 0
 
 
+def test_any_capital_starts_a_name_and_columns_stay(spark):
+    d = spark.createDataFrame([(1, "Mary Șerban came", "kept"), (2, "Mary Șerban came, 2024", "kept")], "doc_id long, text string, _pii string")
+    got = pii.pseudonymise(d, "key").orderBy("doc_id").collect()
+    assert [r["n_pii"] for r in got] == [1, 1] and not any("Șerban" in r["text"] for r in got) and got[1]["text"] == got[0]["text"] + ", 2024"
+    assert [r["_pii"] for r in got] == ["kept", "kept"]
+
+
 def test_numbers_stay_distinct(spark):
     numbers = spark.range(1000).select(F.col("id").alias("doc_id"), F.format_string("+1 (%03d) 555-%04d", (F.col("id") % 7).cast("int"), F.col("id").cast("int")).alias("text"))
     made = [r["text"] for r in pii.pseudonymise(numbers, "k").collect()]
@@ -203,6 +210,21 @@ def test_mixing_edges(spark, tmp_path):
     assert all(counts.get(k, 0) == c for k, c in by_id.items())
 
 
+def test_equal_rows_are_taken_as_they_fit(spark, tmp_path):
+    rows = [(None, "a b c d e", None, "x", 1)] * 100 + [(7, "a b", None, "y", 1)] * 50 + [(k, "a b", None, "z", 1) for k in range(60)]
+    d = spark.createDataFrame(rows, DOCUMENTS)
+    d.coalesce(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = mixing.op8_mixing(spark, str(tmp_path))
+    assert spark_rows(got) == duck_rows(mixing.ORACLE, str(tmp_path))
+    taken, targets = Counter(), {}
+    for r in got.collect():
+        taken[r["source_size"]] += r["taken"]
+        targets[r["source_size"]] = r["target"]
+    assert all(targets[n] - 5 <= taken[n] <= targets[n] for n in targets)
+    some = Counter(r["source"] for r in mixing.take(d).collect())
+    assert abs(5 * some["x"] - targets[500]) < 100 and abs(2 * some["y"] - targets[100]) < 50
+
+
 def test_targets_add_up(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), ("d", 5), (None, 300)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.targets(sizes, (3, 1, 2), 1.5, 2).collect()}
