@@ -7,15 +7,15 @@ regression, one language versus the rest, is fitted in the mapped space.  Scorin
 landmarks' rows of a text's n-grams; a matrix product takes kernel values to languages.
 
 Letters are code points of the whole of Unicode, none of them capped or merged; n-grams of
-them are hashed into a space of fixed size.  The n-grams that count are those of the labelled
-texts.  The labelled sample is bounded by ``per_language`` rows for each language, fewer where
-there are more than 200 languages, chosen by a hash of ``doc_id``; of texts longer than
-``longest`` characters the sample takes the first so many.  Everything else reads whole texts
-of all rows.
+them are hashed into a space of fixed size.  Those that some landmark holds are the columns of
+the kernel; a text's own count is that of all its n-grams.  The labelled sample is bounded by
+``per_language`` distinct texts for each language, fewer where there are more than 200
+languages, chosen by a hash of the text; the executors reduce them to their n-grams.  All
+texts, those of the sample too, are read whole.
 
 Defined results: a null text or one without letters gives ``und`` and score 0; if nothing
-can be learned every text gives ``und``; repeated rows give equal rows; ties go to the
-language that sorts first; an empty table gives no rows; other columns are ignored.
+can be learned every text gives ``und``; repeated rows give equal rows, and of equal texts with
+one label one is learned from; ties go to the language that sorts first; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import table
@@ -34,7 +34,7 @@ from .shared import table
 UNDETERMINED = "und"
 #: N-grams are hashed to numbers of so many bits.
 _SPACE = 18
-#: At most so many labelled texts in all, at least one for each language.
+#: At most so many labelled texts in all, but one for each language.
 _SAMPLE = 80_000
 
 
@@ -65,6 +65,14 @@ def _grams(symbols: np.ndarray, orders: int) -> Iterator[np.ndarray]:
         yield ((out * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - _SPACE)).astype(np.int64)
 
 
+def grams(text: str, orders: int) -> np.ndarray:
+    """The distinct n-grams of a text."""
+    held = np.zeros(1 << _SPACE, bool)
+    for found in _grams(_symbols(text), orders):
+        held[found] = True
+    return np.flatnonzero(held)
+
+
 @dataclass
 class Model:
     """What the executors need; its size depends on the sample's bounds and not on the data."""
@@ -77,43 +85,35 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
 
-    def present(self, text: str) -> np.ndarray:
-        """Which of the known n-grams a text holds."""
-        held = np.zeros(len(self.landmarks) + 1, bool)
-        for grams in _grams(_symbols(text), self.orders):
-            held[self.lookup[grams]] = True
-        return np.flatnonzero(held[:-1])  # unknown n-grams landed behind
-
-    def kernel(self, present: Sequence[np.ndarray]) -> np.ndarray:
-        shared = np.stack([self.landmarks[p].sum(0, dtype=np.float32) for p in present])
-        norms = np.sqrt(np.maximum([len(p) for p in present], 1)).astype(np.float32)
+    def kernel(self, texts: Sequence[np.ndarray]) -> np.ndarray:
+        """Kernel values of texts, given by their n-grams, with the landmarks."""
+        known = [self.lookup[t] for t in texts]
+        shared = np.stack([self.landmarks[k[k >= 0]].sum(0, dtype=np.float32) for k in known])
+        norms = np.sqrt(np.maximum([len(t) for t in texts], 1)).astype(np.float32)
         return shared / norms[:, None] / self.landmark_norms[None, :]
 
     def scores(self, texts: Sequence[str]) -> np.ndarray:
-        return self.kernel([self.present(t) for t in texts]) @ self.weights + self.bias
+        return self.kernel([grams(t, self.orders) for t in texts]) @ self.weights + self.bias
 
 
-def fit(texts: Sequence[str], labels: Sequence[str], orders: int = 3, landmarks: int = 192, ridge: float = 1e-2) -> Model:
-    """Fit on labelled texts; the landmarks are spread evenly over the languages."""
+def fit(texts: Sequence[np.ndarray], labels: Sequence[str], orders: int = 3, landmarks: int = 192, ridge: float = 1e-2) -> Model:
+    """Fit on the n-grams of labelled texts; the landmarks are spread evenly over the languages."""
     languages = sorted(set(labels))
-    if not texts or not languages:
-        return Model([], orders, np.zeros(0, np.int32), np.zeros((0, 0), np.uint8), np.zeros(0, np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
-    counts = np.zeros(1 << _SPACE, np.int64)
-    for t in texts:
-        counts[np.unique(np.concatenate(list(_grams(_symbols(t), orders))))] += 1
-    kinds = np.flatnonzero(counts >= (2 if len(texts) > 50 else 1))
-    lookup = np.full(1 << _SPACE, -1, np.int32)
-    lookup[kinds] = np.arange(len(kinds))
-    model = Model(languages, orders, lookup, np.zeros((len(kinds), 0), np.uint8), np.zeros(0, np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
+    nothing = np.zeros((0, 0), np.float32)
+    if not languages:
+        return Model([], orders, np.zeros(0, np.int32), np.zeros((0, 0), np.uint8), nothing.ravel(), nothing, nothing.ravel())
     by = {lang: [i for i, x in enumerate(labels) if x == lang] for lang in languages}
     landmarks = max(landmarks, len(languages))
     chosen = [i for k in range(landmarks) for lang in languages for i in by[lang][k : k + 1]][:landmarks]
-    held = [model.present(texts[i]) for i in chosen]
-    model.landmarks = np.zeros((len(kinds), len(chosen)), np.uint8)
-    for k, p in enumerate(held):
-        model.landmarks[p, k] = 1
-    model.landmark_norms = np.sqrt(np.maximum([len(p) for p in held], 1)).astype(np.float32)
-    k_nm = np.concatenate([model.kernel([model.present(t)]) for t in texts]).astype(np.float64)
+    kinds = np.unique(np.concatenate([texts[i] for i in chosen]))
+    lookup = np.full(1 << _SPACE, -1, np.int32)
+    lookup[kinds] = np.arange(len(kinds))
+    held = np.zeros((len(kinds), len(chosen)), np.uint8)
+    for k, i in enumerate(chosen):
+        held[lookup[texts[i]], k] = 1
+    norms = np.sqrt(np.maximum([len(texts[i]) for i in chosen], 1)).astype(np.float32)
+    model = Model(languages, orders, lookup, held, norms, nothing, nothing.ravel())
+    k_nm = np.concatenate([model.kernel([t]) for t in texts]).astype(np.float64)
     k_mm = k_nm[chosen]
     values, vectors = np.linalg.eigh((k_mm + k_mm.T) / 2)
     keep = values > 1e-6 * values.max()
@@ -126,32 +126,33 @@ def fit(texts: Sequence[str], labels: Sequence[str], orders: int = 3, landmarks:
     return model
 
 
-def labelled_sample(docs: DataFrame, per_language: int = 400, longest: int = 20_000) -> tuple[list[str], list[str]]:
-    """At most ``per_language`` labelled texts of each language, of rows that are not held out.
+def labelled_sample(docs: DataFrame, per_language: int = 400, orders: int = 3) -> tuple[list[np.ndarray], list[str]]:
+    """N-grams and labels of at most ``per_language`` distinct texts of each language, of rows that are not held out.
 
-    Counts by language first; then a hash threshold lets about twice the bound through (all,
-    where a language has few), and the bound is kept exactly on the driver.
+    Distinct texts are counted by language first; then a threshold on their hash lets about
+    twice the bound through (all, where a language has few), and the smallest hashes stay.
     """
-    usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") > 0))
-    hashed = usable.select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    lettered = F.col("text").rlike(r"\p{L}")
+    usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & lettered)
+    hashed = usable.select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("h"))
+    counts = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return [], []
     per_language = max(1, min(per_language, _SAMPLE // len(counts)))
     # a threshold that lets few through may let none through
-    limits = [(lang, int(min(1.0, max(2 * per_language, per_language + 20) / n) * (1 << 40))) for lang, n in counts.items()]
-    limit = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, most long"))
-    # the limit cuts only where ids repeat, and then from all languages; texts are cut behind the threshold
-    low = hashed.join(limit, "lang").where(F.col("h") < F.col("most")).select("lang", "h", (F.col("h") / F.col("most")).alias("part"), F.substring("text", 1, longest).alias("text"))
-    rows = low.sort("part", "lang", "text").limit(max(3 * per_language, per_language + 40) * len(counts)).collect()
-    taken: dict[str, int] = {}
-    texts, labels = [], []
-    for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"])):
-        if taken.get(r["lang"], 0) < per_language:
-            taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-            texts.append(r["text"])
-            labels.append(r["lang"])
-    return texts, labels
+    limits = [(lang, int(min(1.0, max(2 * per_language, per_language + 20) / max(n, 1)) * (1 << 40))) for lang, n in counts.items()]
+    limit = docs.sparkSession.createDataFrame(limits, "lang string, most long")
+    low = hashed.join(limit, "lang").where(F.col("h") < F.col("most")).dropDuplicates(["lang", "h"])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = low.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "h", "text")
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [grams(t.as_py(), orders) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array([g.astype("<i4").tobytes() for g in found], pa.binary())], ["lang", "h", "grams"])
+
+    rows = sorted(chosen.mapInArrow(reduce, "lang string, h long, grams binary").collect(), key=lambda r: (r["lang"], r["h"]))
+    return [np.frombuffer(r["grams"], "<i4").astype(np.int64) for r in rows], [r["lang"] for r in rows]
 
 
 def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), batch: int = 256) -> DataFrame:
@@ -182,8 +183,8 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), ba
     return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, per_language: int = 400, longest: int = 20_000, landmarks: int = 192) -> Model:
-    return fit(*labelled_sample(docs, per_language, longest), landmarks=landmarks)
+def train(docs: DataFrame, per_language: int = 400, landmarks: int = 192) -> Model:
+    return fit(*labelled_sample(docs, per_language), landmarks=landmarks)
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,32 @@ def test_langid_all_scripts_and_long_texts(spark):
     assert learned == {r["lang"] for r in many.where(~langid.held_out(F.col("doc_id"))).select("lang").distinct().collect()} and len(learned) > 200
 
 
+def test_langid_is_a_string_kernel_ridge(spark):
+    """With every text a landmark, the model is the plain kernel ridge regression."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 2000 AND lang IS NOT NULL").orderBy("doc_id").limit(160).collect()
+    sets = [{s[i : i + n] for s in [re.sub("[^a-zà-ÿ]+", " ", f" {r['text'].lower()} ")] for n in (1, 2, 3) for i in range(len(s) - n + 1)} for r in rows]
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    learned, languages = slice(0, 120), sorted({r["lang"] for r in rows[:120]})
+    signs = np.array([[1.0 if r["lang"] == lang else -1.0 for lang in languages] for r in rows[learned]])
+    values, vectors = np.linalg.eigh(kernel[learned, learned])
+    mapped = np.hstack([kernel[:, learned] @ vectors / np.sqrt(np.maximum(values, 1e-12)), np.ones((160, 1))])
+    brute = mapped @ np.linalg.solve(mapped[learned].T @ mapped[learned] + 1e-2 * np.eye(121), mapped[learned].T @ signs)
+    model = langid.fit([langid.grams(r["text"], 3) for r in rows[learned]], [r["lang"] for r in rows[learned]], landmarks=120)
+    got = model.scores([r["text"] for r in rows])
+    assert np.abs(got - brute).max() < 0.1 and (got.argmax(1) == brute.argmax(1)).all()
+
+
+def test_langid_learns_past_repeated_rows(spark):
+    rng = np.random.default_rng(2)
+    text = lambda words: " ".join(rng.choice(words.split(), 20))
+    de, en = "der die das und ein ist von zu mit auf nicht", "the of and to in is that for it was on"
+    rows = [(None, "der hund und die katze", "de")] * 4000 + [(k, text(de), "de") for k in range(20)] + [(100 + k, text(en), "en") for k in range(299)] + [(900, text(de) * 3000, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = Counter(langid.labelled_sample(d, per_language=50)[1])
+    assert 10 <= sample["de"] <= 15 and sample["en"] == 50
+    assert {(r["doc_id"], r["lang_pred"]) for r in langid.predict(d, langid.train(d)).collect()} == {(i, lang or "de") for i, _, lang in rows}
+
+
 # personal data
 
 PEOPLE = [
