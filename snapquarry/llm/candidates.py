@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .runs import fixed_width, smallest_linked, whole_runs
-from .shared import drop_table, materialise
+from .shared import drop_table, map_arrow, materialise
 
 #: ``alike(one, two)``: which rows of two equally long arrays of sketches are alike.
 Alike = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -81,14 +81,15 @@ def _walk(sketches: np.ndarray, own: np.ndarray, x: int, y: int, alike: Alike) -
     return (np.concatenate(froms), np.concatenate(tos)) if froms else (np.zeros(0, np.int64),) * 2
 
 
-def links(entries: DataFrame, buckets: Sequence[str], alike: Alike, dtype: type, width: int, block: int) -> DataFrame:
+def links(entries: DataFrame, buckets: Sequence[str], alike: Alike, dtype: type, width: int, block: int, bare: DataFrame | None = None) -> DataFrame:
     """``a`` and ``b``: links between the alike nodes of each bucket.
 
     ``entries``: the ``buckets`` columns (numbers), ``node`` (long) and ``sketch`` (binary,
-    ``width`` items of ``dtype``), each once.
+    ``width`` items of ``dtype``), each once.  ``bare`` has the same rows without sketches,
+    to be counted.
     """
     buckets = list(buckets)
-    many = entries.groupBy(*buckets).agg(F.count("*").alias("n")).where(F.col("n") > block)
+    many = (entries if bare is None else bare).groupBy(*buckets).agg(F.count("*").alias("n")).where(F.col("n") > block)
     # written, the few large buckets have a known size: Spark broadcasts them below its threshold
     many = materialise(many.select(*buckets, F.ceil(F.col("n") / block).cast("int").alias("_blocks")), "buckets")
     placed = entries.join(many, buckets, "left")
@@ -112,12 +113,12 @@ def links(entries: DataFrame, buckets: Sequence[str], alike: Alike, dtype: type,
             at = np.flatnonzero(roots != np.arange(len(node)))
             yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[roots[at]])], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return map_arrow(dealt, run, "a long, b long")
 
 
-def candidate_groups(entries: DataFrame, buckets: Sequence[str], alike: Alike, dtype: type, width: int, name: str, block: int = 1024) -> DataFrame:
+def candidate_groups(entries: DataFrame, buckets: Sequence[str], alike: Alike, dtype: type, width: int, name: str, block: int = 1024, bare: DataFrame | None = None) -> DataFrame:
     """``node`` and ``group`` of all nodes alike some other that they meet."""
-    found = materialise(links(entries, buckets, alike, dtype, width, block), f"{name}-alike")
+    found = materialise(links(entries, buckets, alike, dtype, width, block, bare), f"{name}-alike")
     groups = connected_components(found, f"{name}-groups").withColumnRenamed("component", "group")
     drop_table(found)
     return groups

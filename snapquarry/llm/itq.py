@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .candidates import candidate_groups, pairs_of_blocks
 from .components import connected_components
 from .runs import single_runs, smallest_linked
-from .shared import drop_table, materialise, table
+from .shared import drop_table, map_arrow, materialise, table
 from .vectors import matrix, sample, usable
 
 #: Components of a block of a candidate group, unless it is a single vector.
@@ -111,7 +111,7 @@ def _encode(rows: DataFrame, codes) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, subs.size + 1, subs.shape[1], dtype=np.int32)), pa.array(subs.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("label"), part.column("d"), pa.array([c.tobytes() for c in code], pa.binary()), lists], ["row", "label", "d", "code", "subs"])
 
-    return rows.mapInArrow(run, "row long, label long, d int, code binary, subs array<long>")
+    return map_arrow(rows, run, "row long, label long, d int, code binary, subs array<long>")
 
 
 def _compare(least: float, group: list[str]):
@@ -161,7 +161,7 @@ def _links(rows: DataFrame, least: float, miss: float, sample_rows: int, block:
     blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("d") / _BLOCK_COMPONENTS)).cast("int")
     sizes = materialise(members.groupBy("group").agg(blocks.alias("blocks")), "itq-sizes")
     pairs = pairs_of_blocks(members.join(sizes, "group"), "row", F.col("blocks"), ["group"], ["row", "v", "d"])
-    found = materialise(pairs.mapInArrow(_compare(least, ["group", "x", "y"]), "a long, b long, n long"), "itq-links")
+    found = materialise(map_arrow(pairs, _compare(least, ["group", "x", "y"]), "a long, b long, n long"), "itq-links")
     for gone in (coded, groups, sizes):
         drop_table(gone)
     sent.unpersist()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import map_arrow, table
 
 UNDETERMINED = "und"
 #: N-grams are hashed to numbers of so many bits.
@@ -141,7 +141,8 @@ def labelled_sample(docs: DataFrame, per_language: int = 400, orders: int = 3) -
     per_language = max(1, min(per_language, _SAMPLE // len(counts)))
     # a threshold that lets few through may let none through
     limits = [(lang, int(min(1.0, max(2 * per_language, per_language + 20) / max(n, 1)) * (1 << 40))) for lang, n in counts.items()]
-    limit = docs.sparkSession.createDataFrame(limits, "lang string, most long")
+    # one row for each language, on the driver anyhow; without the broadcast all texts would be shuffled by language
+    limit = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, most long"))
     low = hashed.join(limit, "lang").where(F.col("h") < F.col("most")).dropDuplicates(["lang", "h"])
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     chosen = low.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "h", "text")
@@ -151,7 +152,7 @@ def labelled_sample(docs: DataFrame, per_language: int = 400, orders: int = 3) -
             found = [grams(t.as_py(), orders) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array([g.astype("<i4").tobytes() for g in found], pa.binary())], ["lang", "h", "grams"])
 
-    rows = sorted(chosen.mapInArrow(reduce, "lang string, h long, grams binary").collect(), key=lambda r: (r["lang"], r["h"]))
+    rows = sorted(map_arrow(chosen, reduce, "lang string, h long, grams binary").collect(), key=lambda r: (r["lang"], r["h"]))
     return [np.frombuffer(r["grams"], "<i4").astype(np.int64) for r in rows], [r["lang"] for r in rows]
 
 
@@ -180,7 +181,7 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), ba
                         lang[i], score[i] = m.languages[k], float(min(1.0, max(0.0, (v + 1) / 2)))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
+    return map_arrow(docs.select(*keep, *([] if "text" in keep else ["text"])), run, schema)
 
 
 def train(docs: DataFrame, per_language: int = 400, landmarks: int = 192) -> Model:

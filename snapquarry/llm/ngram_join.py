@@ -4,7 +4,7 @@
 2. Classes that agree in a band of five MinHash values meet in that band's bucket.  Two sets
    of similarity 0.8 miss each other in all 25 bands with probability 5e-5, closer ones
    more rarely.
-3. Within a bucket MinHash values (a byte of each) are compared 16 at a time.  A pair goes
+3. Within a bucket MinHash values (four bits of each) are compared 16 at a time.  A pair goes
    when the posterior probability (uniform prior) that its similarity reaches the threshold
    falls below ``tolerance``.  Only what stays connects: the components are candidate
    groups, so texts that merely share a passage form none.
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from .candidates import candidate_groups, pairs_of_blocks
 from .components import connected_components
 from .runs import fixed_width, single_runs, smallest_linked
-from .shared import drop_table, materialise, table
-from .shingles import MinHash, grouped, shingle_sets
+from .shared import drop_table, map_arrow, materialise, table
+from .shingles import MinHash, shingle_sets, text_slices
 
 HASHES, ROWS, STEP = 128, 5, 16
 #: Shingles of a block of a candidate group, unless a single set has more.
@@ -69,8 +69,9 @@ def least_matches(threshold: float, tolerance: float, hashes: int = HASHES, step
 
 
 def sketch(signature: np.ndarray) -> np.ndarray:
-    """The lowest byte of each MinHash value.  Bytes agree by chance too, so no pair is dropped for using them."""
-    return signature.astype(np.uint8)
+    """Four bits of each MinHash value.  They agree by chance too, so no pair is dropped for using them."""
+    low = signature.astype(np.uint8) & 15
+    return low[::2] << 4 | low[1::2]
 
 
 def band_hashes(signature: np.ndarray) -> np.ndarray:
@@ -92,10 +93,9 @@ def signatures(docs: DataFrame) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHash(HASHES)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in grouped(texts):
+            for a, b, texts in text_slices(batch):
                 rows: list[tuple] = []
-                for s in shingle_sets(texts[a:b]):
+                for s in shingle_sets(texts):
                     if len(s):
                         signature = minhash.signature(s)
                         rows.append((class_key(s), len(s), sketch(signature).tobytes(), band_hashes(signature)))
@@ -109,7 +109,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), "text")
-    return rows.mapInArrow(sign, "row long, doc_id long, text_hash long, key binary, size long, sketch binary, bands array<long>")
+    return map_arrow(rows, sign, "row long, doc_id long, text_hash long, key binary, size long, sketch binary, bands array<long>")
 
 
 def _node(key: str) -> Column:
@@ -146,8 +146,9 @@ def alike(threshold: float, tolerance: float) -> Callable[[np.ndarray, np.ndarra
     def test(one: np.ndarray, two: np.ndarray) -> np.ndarray:
         left, matches = np.arange(len(one)), np.zeros(len(one), np.int32)
         for step, least in enumerate(needed):
-            part = slice(step * STEP, (step + 1) * STEP)
-            matches = matches + np.count_nonzero(one[left, part] == two[left, part], axis=1)
+            part = slice(step * STEP // 2, (step + 1) * STEP // 2)
+            apart = one[left, part] ^ two[left, part]
+            matches = matches + np.count_nonzero(apart < 16, axis=1) + np.count_nonzero(apart & 15 == 0, axis=1)
             stays = matches >= least
             left, matches = left[stays], matches[stays]
             if not len(left):
@@ -198,12 +199,12 @@ def _verify(threshold: float, tolerance: float, group: list[str]):
                 rows, keys = rows.take(pa.array(once)), [keys[k] for k in once]
             own, copies = rows.column("own").to_numpy(), rows.column("copies").to_numpy()
             x, y = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
-            sketches, raw = fixed_width(rows.column("sketch"), np.uint8, HASHES), rows.column("shingles")
+            sketches, raw = fixed_width(rows.column("sketch"), np.uint8, HASHES // 2), rows.column("shingles")
             one, two = (np.arange(len(keys)),) * 2 if x == y else (np.flatnonzero(own == x), np.flatnonzero(own == y))
             ones, twos = [], []
             for k, r in enumerate(one.tolist()):
                 other = two[k + 1 :] if x == y else two
-                other = other[test(np.broadcast_to(sketches[r], (len(other), HASHES)), sketches[other])]
+                other = other[test(np.broadcast_to(sketches[r], (len(other), HASHES // 2)), sketches[other])]
                 ones.append(np.full(len(other), r))
                 twos.append(other)
             i, j = np.concatenate(ones), np.concatenate(twos)
@@ -227,12 +228,16 @@ def _groups(signed: DataFrame, threshold: float, tolerance: float, block: int) -
     """``node`` and ``group`` of the classes whose sketches are like another's."""
     worded = signed.where("key IS NOT NULL").select(_node("key").alias("node"), "sketch", "bands")
     entries = worded.select("node", F.explode("bands").alias("band"))
-    met = entries.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band")
-    hits = materialise(entries.join(met, "band", "left_semi").select("band", "node").distinct(), "ngram-hits")
+    met = entries.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    met = materialise(met.select("band"), "ngram-met")
+    possible = _possible(met, "band")
+    hits = materialise(entries.where(possible(F.col("band"))).join(met, "band", "left_semi").select("band", "node").distinct(), "ngram-hits")
     meeting = hits.select("node").distinct()
     sketches = worded.join(meeting, "node", "left_semi").groupBy("node").agg(F.max("sketch").alias("sketch"))
-    out = candidate_groups(hits.join(sketches, "node").select("band", "node", "sketch"), ["band"], alike(threshold, tolerance), np.uint8, HASHES, "ngram", block)
+    entries = hits.join(sketches, "node").select("band", "node", "sketch")
+    out = candidate_groups(entries, ["band"], alike(threshold, tolerance), np.uint8, HASHES // 2, "ngram", block, bare=hits)
     drop_table(hits)
+    drop_table(met)
     return out
 
 
@@ -240,10 +245,10 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sketch and shingles of the texts of candidate groups."""
     minhash, seen = MinHash(HASHES), set()
     for batch in batches:
-        texts, wanted = batch.column("text").to_pylist(), batch.column("key").to_pylist()
-        for a, b in grouped(texts):
+        wanted = batch.column("key").to_pylist()
+        for a, b, texts in text_slices(batch):
             # a class comes once from each task, and from a text that is really its own
-            found = [(k, s) for k, s in zip(range(a, b), shingle_sets(texts[a:b]), strict=True) if class_key(s) == wanted[k] and not (wanted[k] in seen or seen.add(wanted[k]))]
+            found = [(k, s) for k, s in zip(range(a, b), shingle_sets(texts), strict=True) if class_key(s) == wanted[k] and not (wanted[k] in seen or seen.add(wanted[k]))]
             at = pa.array([k for k, _ in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c).take(at) for c in ("key", "copies", "group", "blocks")), pa.array([sketch(minhash.signature(s)).tobytes() for _, s in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())],
@@ -261,9 +266,9 @@ def _links(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold: fl
     possible = _possible(members, "doc_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_hash(F.col("text")).alias("hash"), "text").where(possible(F.col("id")))
     again = texts.join(members, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))).select("text", "key", "copies", "group", "blocks")
-    payload = again.mapInArrow(_shingled, "key binary, copies long, group long, blocks int, sketch binary, shingles binary")
+    payload = map_arrow(again, _shingled, "key binary, copies long, group long, blocks int, sketch binary, shingles binary")
     pairs = pairs_of_blocks(payload, "key", F.col("blocks"), ["group"], ["key", "copies", "sketch", "shingles"])
-    found = materialise(pairs.mapInArrow(_verify(threshold, tolerance, ["group", "x", "y"]), "a binary, b binary, n long"), "ngram-links")
+    found = materialise(map_arrow(pairs, _verify(threshold, tolerance, ["group", "x", "y"]), "a binary, b binary, n long"), "ngram-links")
     drop_table(members)
     return found
 

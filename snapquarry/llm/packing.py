@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encoder import encoder
-from .shared import materialise, table
+from .shared import map_arrow, materialise, table
 from .token_files import _slices
 
 
@@ -118,7 +118,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> Dat
                     columns = list(zip(*rows, strict=True)) or [()] * 6
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array(np.full(len(rows), part, np.int32))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank", "part"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, rank long, part int")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut, "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, rank long, part int")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 1024) -> DataFrame:
@@ -161,7 +161,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 1024) -> Da
             )
 
     ranked = pieces.join(bases, ["length", "part"]).withColumn("rank", F.col("base") + F.col("rank"))
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long")
+    return map_arrow(ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank"), place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None, end_id: int = 0, window: int = 1024) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, table
+from .shared import map_arrow, materialise, table
 from .vectors import matrix, sample, usable
 
 _BITS = 64
@@ -127,7 +127,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 24,
                         out.append((np.full(len(best), query_ids[q]), ids[at][best], far[best]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
-        found.append(materialise(rows.mapInArrow(run, schema), "forest-found"))
+        found.append(materialise(map_arrow(rows, run, schema), "forest-found"))
     if not found:
         return empty
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

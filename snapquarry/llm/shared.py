@@ -10,10 +10,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _SETTING = "spark.checkpoint.dir"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +48,17 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow``, with the session's Arrow batches bounded by bytes where that is not set.
+
+    A batch of 10,000 rows, Spark's only bound by default, may be gigabytes of long texts.
+    """
+    conf = df.sparkSession.conf
+    if _BATCH not in conf.getAll:
+        conf.set(_BATCH, str(4 << 20))
+    return df.mapInArrow(run, schema)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that nothing reads any more."""
     jvm = spark.sparkContext._jvm

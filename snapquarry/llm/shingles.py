@@ -7,11 +7,15 @@ a text without words has none.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WIDTH = 5
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -95,17 +99,16 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def grouped(texts: list[str | None], limit: int = 2 << 20) -> list[tuple[int, int]]:
-    """Slices of a list of texts of about ``limit`` characters."""
-    cuts, size, at = [], 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= limit:
-            cuts.append((at, i + 1))
-            at, size = i + 1, 0
-    if at < len(texts):
-        cuts.append((at, len(texts)))
-    return cuts
+def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 19) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Rows from, to, and their texts, in slices of about ``limit`` bytes and at least one row."""
+    texts = batch.column(column)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield at, end, texts.slice(at, end - at).to_pylist()
+        at = end
 
 
 class MinHash:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encoder import encoder
-from .shared import materialise, shared_path
+from .shared import map_arrow, materialise, shared_path
 
 LAYOUT = {
     "compression": "zstd",
@@ -75,7 +75,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                     )
                     start += int(n.sum())
 
-    return ordered.mapInArrow(encode, _SCHEMA)
+    return map_arrow(ordered, encode, _SCHEMA)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, **layout: str) -> str:
@@ -118,7 +118,7 @@ def digest(tokens: DataFrame, *keep: str) -> DataFrame:
                 [*keep, "n_ids", "ids_crc32"],
             )
 
-    return tokens.select(*keep, "ids").mapInArrow(crc, f"{kept}, n_ids long, ids_crc32 long")
+    return map_arrow(tokens.select(*keep, "ids"), crc, f"{kept}, n_ids long, ids_crc32 long")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
