@@ -117,7 +117,7 @@ def _node(key: str) -> Column:
     return F.xxhash64(key)
 
 
-def _possible(ids: DataFrame, column: str, most_bits: int = 24) -> Callable[[Column], Column]:
+def possible_values(ids: DataFrame, column: str, most_bits: int = 24) -> Callable[[Column], Column]:
     """A Bloom filter of at most 2 MiB on a column: whether a value may be among ``ids``.
 
     It spares the shuffle of most texts.  With more ids than it was made for it lets more
@@ -230,7 +230,7 @@ def _groups(signed: DataFrame, threshold: float, tolerance: float, block: int) -
     entries = worded.select("node", F.explode("bands").alias("band"))
     met = entries.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     met = materialise(met.select("band"), "ngram-met")
-    possible = _possible(met, "band")
+    possible = possible_values(met, "band")
     hits = materialise(entries.where(possible(F.col("band"))).join(met, "band", "left_semi").select("band", "node").distinct(), "ngram-hits")
     meeting = hits.select("node").distinct()
     sketches = worded.join(meeting, "node", "left_semi").groupBy("node").agg(F.max("sketch").alias("sketch"))
@@ -263,7 +263,7 @@ def _links(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold: fl
     sizes = found_in.groupBy("group").agg(blocks.alias("blocks"))
     members = materialise(found_in.join(sizes, "group").select("key", "first.doc_id", "first.text_hash", "copies", "group", "blocks"), "ngram-members")
     # only the texts of classes in candidate groups are read again, each from the class's first row
-    possible = _possible(members, "doc_id")
+    possible = possible_values(members, "doc_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_hash(F.col("text")).alias("hash"), "text").where(possible(F.col("id")))
     again = texts.join(members, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))).select("text", "key", "copies", "group", "blocks")
     payload = map_arrow(again, _shingled, "key binary, copies long, group long, blocks int, sketch binary, shingles binary")
