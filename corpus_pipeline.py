@@ -33,11 +33,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     # rows that go, wholly or in part; the others' texts need not move
     marked = materialise(by_row.where("stay < n").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "stay"), "pipeline-marked")
     hashed = docs.select(*COLUMNS, ngram_join.text_hash(F.col("text")).alias("_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("hash"))
-    single = hashed.join(marked, same, "left_anti")
-    several = hashed.join(marked.where("stay > 0"), same)
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy(F.struct("source", "lang", "n_chars")))
-    return single.select(*COLUMNS).unionByName(several.withColumn("_nth", nth).where("_nth <= stay").select(*COLUMNS))
+    may_go = ngram_join.possible_values(marked, "hash")(F.col("_hash"))
+    judged_rows = hashed.where(may_go).join(marked, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("hash")), "left")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("source", "lang", "n_chars"))
+    stay = judged_rows.withColumn("_nth", nth).where("stay IS NULL OR _nth <= stay")
+    return hashed.where(~may_go).select(*COLUMNS).unionByName(stay.select(*COLUMNS))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
