@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_chunk
@@ -34,9 +34,14 @@ class Tables:
     def pieces(self) -> DataFrame:
         """Fixed-width pieces of documents in place of content-defined chunks."""
         d = self.raw("documents")
-        cut = d.select("doc_id", "source", "text", F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / PIECE).cast("int"))).alias("seq"))
-        piece = F.substr("text", F.col("seq") * PIECE + 1, F.lit(PIECE))
-        return cut.select("doc_id", "source", F.col("seq").cast("long").alias("seq"), hash_chunk(piece).alias("hash"), F.octet_length(piece).cast("long").alias("length"))
+        numbers = F.sequence(F.lit(0), F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / PIECE).cast("int"))
+        # hashed within the row: no row carries its text more than once
+        hashed = F.transform(numbers, lambda i: self._piece(i.cast("long"), F.substr("text", i * PIECE + 1, F.lit(PIECE))))
+        return d.select("doc_id", "source", F.explode(hashed).alias("piece")).select("doc_id", "source", "piece.*")
+
+    @staticmethod
+    def _piece(seq: Column, text: Column) -> Column:
+        return F.struct(seq.alias("seq"), hash_chunk(text).alias("hash"), F.octet_length(text).cast("long").alias("length"))
 
     def chunks(self) -> DataFrame:
         """Distinct pieces in packs: the first place of each, packed by running size within each source."""
@@ -46,9 +51,10 @@ class Tables:
         return packs.offsets(named, "pack_id", "length", ["doc_id", "seq"]).withColumn("comp_length", F.col("length"))
 
     def surviving(self) -> DataFrame:
-        """Pieces of the documents that were not forgotten: those without a toxic label, and two thirds of them."""
-        toxic = self.raw("labels").where("toxic = 1").select("doc_id")
-        return self.pieces().where(F.col("doc_id") % 3 != 0).join(toxic, "doc_id", "left_anti")
+        """Pieces of the documents that were not forgotten: those with a bad label, in other languages than English, and of two sources, were."""
+        bad = self.raw("labels").where("toxic = 1 OR quality = 0").select("doc_id")
+        gone = self.raw("documents").where("lang <> 'en' OR source IN ('src1', 'src2')").select("doc_id")
+        return self.pieces().join(bad.unionByName(gone), "doc_id", "left_anti")
 
     def version(self, before: str) -> DataFrame:
         """Orders up to a date as a file tree: one file for each customer."""

@@ -42,7 +42,7 @@ first_pieces AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITI
 bucketed AS (SELECT *, ((coalesce(sum(length) OVER (PARTITION BY source ORDER BY doc_id, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) // 65536)::BIGINT AS pack_no FROM first_pieces),
 chunks AS (SELECT *, source || '-' || pack_no AS pack_id, length AS comp_length,
            (coalesce(sum(length) OVER (PARTITION BY source, pack_no ORDER BY doc_id, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 8)::BIGINT AS "offset" FROM bucketed),
-surviving AS (SELECT * FROM pieces WHERE doc_id % 3 <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+surviving AS (SELECT * FROM pieces WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 OR quality = 0) AND doc_id NOT IN (SELECT doc_id FROM documents WHERE lang <> 'en' OR source IN ('src1', 'src2'))),
 live AS (SELECT DISTINCT hash FROM surviving),
 flagged AS (SELECT c.*, l.hash IS NOT NULL AS live FROM chunks c LEFT JOIN live l ON c.hash = l.hash),
 liveness AS (SELECT pack_id, count(*) AS total, count(*) FILTER (live) AS live_n FROM flagged GROUP BY pack_id),
@@ -144,10 +144,10 @@ def content_hash(t: Tables) -> DataFrame:  # A09, SF09
     return index.content_hashes(t.pieces(), "doc_id")
 
 
-@_query("SELECT n.path, n.doc_id, count(p.hash) AS n_chunks FROM nodes n LEFT JOIN (SELECT * FROM pieces WHERE doc_id % 2 = 0) p ON n.doc_id = p.doc_id GROUP BY n.path, n.doc_id")
-def nodes_with_chunks(t: Tables) -> DataFrame:  # J01, SC04
+@_query("SELECT n.path, n.doc_id, count(p.hash) AS n_chunks FROM nodes n LEFT JOIN (SELECT * FROM pieces WHERE doc_id IN (SELECT doc_id FROM labels)) p ON n.doc_id = p.doc_id GROUP BY n.path, n.doc_id")
+def nodes_with_chunks(t: Tables) -> DataFrame:  # J01, SC04; only documents with a label have a chunk list
     key = F.col("doc_id").cast("string")
-    lists = t.pieces().where("doc_id % 2 = 0").select(key.alias("path"), F.lit("s").alias("snapshot_id"), "seq", "hash")
+    lists = t.pieces().join(t.raw("labels").select("doc_id"), "doc_id", "left_semi").select(key.alias("path"), F.lit("s").alias("snapshot_id"), "seq", "hash")
     nodes = t.nodes().select(F.col("path").alias("full"), key.alias("path"), F.lit("s").alias("snapshot_id"), "doc_id")
     return index.with_chunks(nodes, lists).select(F.col("full").alias("path"), "doc_id", F.size("chunks").cast("long").alias("n_chunks"))
 
@@ -328,9 +328,15 @@ def topk_largest(t: Tables) -> DataFrame:  # SO07
     return analytics.largest(t.nodes()).select("path", "size")
 
 
-@_query("""SELECT path, CASE WHEN size < 1024 THEN size || ' B' ELSE format('{:.1f} KiB', size / 1024.0) END AS human FROM nodes WHERE size < 1048576""")
-def human_bytes(t: Tables) -> DataFrame:  # SF17
-    return t.nodes().where("size < 1048576").select("path", scalars.human_bytes(F.col("size")).alias("human"))
+def _human(n: str) -> str:
+    units = "".join(f" WHEN {n} < {1024 ** (k + 1)} THEN format('{{:.1f}} {unit}', {n} / {1024**k}.0)" for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1))
+    return f"CASE WHEN {n} < 1024 THEN {n} || ' B'{units} END"
+
+
+@_query(f"SELECT path, {_human('size')} AS human, {_human('(size * 300)')} AS more, {_human('(size * 300000)')} AS most FROM nodes")
+def human_bytes(t: Tables) -> DataFrame:  # SF17; multiples of the sizes reach the larger units
+    size = F.col("size")
+    return t.nodes().select("path", scalars.human_bytes(size).alias("human"), scalars.human_bytes(size * 300).alias("more"), scalars.human_bytes(size * 300000).alias("most"))
 
 
 @_query("""SELECT doc_id, '-' || string_agg(CASE WHEN (doc_id % 512) & (1 << (8 - i)) <> 0 THEN substr('rwxrwxrwx', i + 1, 1) ELSE '-' END, '' ORDER BY i) AS mode,

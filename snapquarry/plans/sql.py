@@ -39,15 +39,29 @@ def register(spark: SparkSession, tables: Mapping[str, DataFrame]) -> list[str]:
     return done
 
 
+def _writes(spark: SparkSession, plan: object) -> bool:
+    """Whether a parsed plan is, or holds, a command or an insertion, which may follow a WITH or FROM."""
+    command = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
+    if command.isInstance(plan) or plan.getClass().getSimpleName().startswith("Insert"):
+        return True
+    children = plan.children()
+    return any(_writes(spark, children.apply(i)) for i in range(children.size()))
+
+
 def query(spark: SparkSession, text: str) -> DataFrame:
     """Run one statement that reads.  Double quotes name columns, as in standard SQL."""
     first = re.match(r"[\s(]*(\w+)", _COMMENT.sub(" ", text))
-    if not first or first[1].upper() not in ("SELECT", "WITH", "FROM", "VALUES", "TABLE", "DESCRIBE", "SHOW", "EXPLAIN"):
-        raise NotReadOnly("only statements that read are accepted")
+    word = first[1].upper() if first else ""
     setting = "spark.sql.ansi.doubleQuotedIdentifiers"
     before = spark.conf.get(setting)
     spark.conf.set(setting, "true")
     try:
+        if word in ("SELECT", "WITH", "FROM", "VALUES", "TABLE"):
+            allowed = not _writes(spark, spark._jsparkSession.sessionState().sqlParser().parsePlan(text))
+        else:
+            allowed = word in ("DESCRIBE", "SHOW", "EXPLAIN")
+        if not allowed:
+            raise NotReadOnly("only statements that read are accepted")
         return spark.sql(text)
     finally:
         spark.conf.set(setting, before)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import shutil
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +41,8 @@ class Catalog:
         return self.spark.read.schema(schema).parquet(path)
 
     def snapshots(self) -> DataFrame:
-        return conform(self._read("snapshots"), "snapshots").orderBy("timestamp", "id")
+        """The records in time; one that stands in two files, see ``forget``, counts once."""
+        return conform(self._read("snapshots"), "snapshots").dropDuplicates(["id"]).orderBy("timestamp", "id")
 
     def nodes(self, snapshot_id: str | None = None) -> DataFrame:
         return self._of("nodes", snapshot_id)
@@ -79,13 +81,21 @@ class Catalog:
         shutil.rmtree(f"{self.dir}/index/{old}", ignore_errors=True)
 
     def forget(self, snapshot_id: str) -> None:
-        """Drop the record, then nodes and chunk lists; chunks stay until compaction."""
-        kept = self.snapshots().where(F.col("id") != snapshot_id)
-        temp = f"{self.dir}/.snapshots-next"
-        shutil.rmtree(temp, ignore_errors=True)
-        kept.coalesce(1).write.parquet(temp)
-        shutil.rmtree(f"{self.dir}/snapshots", ignore_errors=True)
-        os.replace(temp, f"{self.dir}/snapshots")
+        """Delete the file of the record, then nodes and chunk lists; chunks stay until compaction.
+
+        Other records in that file are first copied to a new one, so no step loses any.
+        """
+        if os.path.isdir(self._path("snapshots")):
+            placed = self._read("snapshots").withColumn("_file", F.col("_metadata.file_path"))
+            files = [r["_file"] for r in placed.where(F.col("id") == snapshot_id).select("_file").distinct().collect()]
+            others = placed.where(F.col("_file").isin(files) & (F.col("id") != snapshot_id)).drop("_file")
+            if not others.isEmpty():
+                self.write_record(others)
+            for path in (unquote(urlparse(f).path) for f in files):
+                os.remove(path)
+                checksum = f"{os.path.dirname(path)}/.{os.path.basename(path)}.crc"
+                if os.path.exists(checksum):
+                    os.remove(checksum)
         for table in ("nodes", "nodechunks"):
             shutil.rmtree(f"{self.dir}/{table}/snapshot_id={snapshot_id}", ignore_errors=True)
 

@@ -103,12 +103,14 @@ def test_liveness_threshold(spark):
     assert got(1.5)["full"] == "candidate"
 
 
-def test_sql_gate(spark, timeline):
+def test_sql_gate(spark, timeline, tmp_path):
     sql.register(spark, {"snapshots": timeline})
     assert sql.query(spark, '-- first\nSELECT "id" FROM snapshots WHERE starts_with("id", \'a\')').count() == 1
-    for bad in ("DROP VIEW snapshots", "INSERT INTO x VALUES (1)", "CREATE TABLE t (a INT)", ""):
+    into = f"OVERWRITE DIRECTORY '{tmp_path}/out' USING parquet SELECT id"
+    for bad in ("DROP VIEW snapshots", "INSERT INTO x VALUES (1)", "CREATE TABLE t (a INT)", "", f"FROM range(3) INSERT {into}", f"WITH t AS (SELECT 1 AS id) INSERT {into} FROM t", f"FROM range(3) INSERT {into} INSERT {into}"):
         with pytest.raises(sql.NotReadOnly):
             sql.query(spark, bad)
+    assert not (tmp_path / "out").exists() and sql.query(spark, "WITH t AS (FROM range(3)) SELECT id, 'INSERT' FROM t").count() == 3
     text = sql.render(spark.createDataFrame([("big.bin", 1000, None, bytearray(b"x"))], "path string, size long, n int, b binary"))
     assert text.splitlines()[0].split() == ["path", "size", "n", "b"] and text.splitlines()[1].split() == ["big.bin", "1000", "x"]
 
@@ -123,3 +125,15 @@ def test_stream_passes_each_hash_once(spark, tmp_path):
     write([("b", "p2", 8, 1, 1), ("c", "p2", 9, 1, 1)])
     maintain_index(spark, m, out, cp).awaitTermination()
     assert sorted(r["hash"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_forget_keeps_records_that_share_a_file(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path))
+    c.write_record(spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "id string, timestamp long"))
+    c.write_record(spark.createDataFrame([("d", 4)], "id string, timestamp long"))
+    for gone, left in (("b", "acd"), ("d", "ac"), ("x", "ac"), ("a", "c")):
+        c.forget(gone)
+        assert "".join(r["id"] for r in c.snapshots().collect()) == left
+    # a crash between the copy and the deletion leaves a record twice
+    c.write_record(c.snapshots())
+    assert c.snapshots().count() == 1
