@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections.abc import Mapping, Sequence
 
 from .api import Repo
 from .config import Config
@@ -78,39 +79,41 @@ def run(args: list[str]) -> str:
             if a.default or not config.default_repo:
                 config.default_repo = a.name
             config.save()
-        return f"Initialized repository at {a.path}\n"
+        return f"repository ready: {a.path}\n"
     path = a.path if a.command != "restore" else _repository_path(args)
     repo = Repo(spark, path or Config.load().resolve(a.repo))
     if a.command == "backup":
         s = repo.backup(a.paths, a.event, parse_tags(a.tag) or None, a.kind, a.actor)
-        parent = f"  parent:   {s['parent']}\n" if s["parent"] else ""
-        return (
-            f"Created snapshot {s['id']}\n{parent}  files:    {s['files']}  dirs: {s['dirs']}  symlinks: {s['symlinks']}\n  data:     {human_size(s['total_bytes'])} scanned\n"
-            f"  new:      {s['new_chunks']} chunks ({human_size(s['new_bytes'])} written)\n  reused:   {s['reused_chunks']} chunks (deduplicated)\n"
-        )
+        return _facts("backup", s, ("id", "parent", "files", "dirs", "symlinks", "total_bytes", "new_chunks", "new_bytes", "reused_chunks"))
     if a.command in ("snapshots", "list", "ls-snapshots"):
         rows = repo.list_snapshots()
-        return "No snapshots yet.\n" if rows.isEmpty() else render(rows)
+        return "nothing backed up so far\n" if rows.isEmpty() else render(rows)
     if a.command == "ls":
         rows = repo.ls(_selector(a), a.prefix)
-        return f'(no entries under "{a.prefix}")\n' if rows.isEmpty() else render(rows)
+        return f"nothing at {a.prefix!r}\n" if rows.isEmpty() else render(rows)
     if a.command == "restore":
-        s = repo.restore(a.dest, _selector(a), a.prefix)
-        return f"Restored from snapshot {s['id']}\n  files: {s['files']}  dirs: {s['dirs']}  symlinks: {s['symlinks']}  ({human_size(s['bytes'])})\n"
+        return _facts("restore", repo.restore(a.dest, _selector(a), a.prefix), ("id", "files", "dirs", "symlinks", "bytes"))
     if a.command == "forget":
-        return f"Forgot snapshot {repo.forget(a.snapshot)}. Compact to reclaim its space.\n"
+        return f"{repo.forget(a.snapshot)} is gone; its chunks go with the next compaction\n"
     if a.command == "compact":
-        s = repo.compact(a.threshold)
-        return (
-            f"Compaction complete.\n  packs:    {s['packs_before']} -> {s['packs_after']}  (deleted {s['packs_deleted']}, rewritten {s['packs_rewritten']})\n"
-            f"  chunks:   {s['live_chunks']} live, {s['dead_chunks']} dead, {s['chunks_relocated']} relocated\n  reclaimed: {human_size(max(0, s['bytes_reclaimed']))}\n"
-        )
+        return _facts("compaction", repo.compact(a.threshold), ("packs_before", "packs_after", "packs_deleted", "packs_rewritten", "live_chunks", "dead_chunks", "chunks_relocated", "bytes_reclaimed"))
     if a.command == "verify":
-        s = repo.verify(a.deep)
-        return f"OK ({'deep (blobs hash-checked)' if a.deep else 'index-only'}): {s['snapshots']} snapshots, {s['files']} files, {s['chunks']} chunk references verified\n"
+        return _facts("verified, contents too" if a.deep else "verified", repo.verify(a.deep), ("snapshots", "files", "chunks"))
     return render(repo.sql(a.sql))
 
 
+def _facts(title: str, stats: Mapping[str, object], names: Sequence[str]) -> str:
+    """A title and a line for each known figure; bytes in larger units."""
+    lines = [title]
+    for name in names:
+        value = stats[name]
+        if "bytes" in name:
+            value = human_size(max(0, int(value)))
+        if value not in ("", None):
+            lines.append(f"{name.replace('_', ' '):>17}  {value}")
+    return "\n".join(lines) + "\n"
+
+
 def _repository_path(args: list[str]) -> str | None:
     """``--path`` before the command names the repository, after ``restore`` the subtree."""
     before = args[: args.index("restore")]

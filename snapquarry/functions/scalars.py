@@ -7,6 +7,7 @@ import os
 import posixpath
 import re
 from datetime import datetime
+from pathlib import PurePosixPath
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,32 +93,27 @@ def pack_key(pack_id: Column) -> Column:
 # Path functions: users' input, handled on the driver.
 
 
-def _clean(path: str) -> str:
-    path = posixpath.normpath(path.replace("\\", "/"))
-    return path[1:] if path.startswith("//") else path
+def _parts(path: str) -> tuple[str, ...]:
+    """The parts of a path without repeated, current or parent steps; an absolute one starts with ``/``."""
+    clean = PurePosixPath(posixpath.normpath(path.replace("\\", "/")))
+    return ("/", *clean.parts[1:]) if clean.is_absolute() else clean.parts
 
 
 def stored_path(source_paths: list[str], user_path: str) -> str:
-    """A user's path in the form stored in a snapshot, below the name of its source root."""
-    if not user_path:
-        return ""
-    path = _clean(user_path)
-    if not path.startswith("/"):
-        return path
-    for root in map(_clean, source_paths):
-        if not root.startswith("/"):
-            continue
-        name, inside = posixpath.basename(root) or "/", root.rstrip("/") + "/"
-        if path == root:
-            return name
-        if path.startswith(inside):
-            return f"{name}/{path[len(inside):]}"
-    return path.lstrip("/")
+    """A user's path in the form stored in a snapshot: below the last part of the first source root that holds it."""
+    wanted = _parts(user_path) if user_path else ()
+    if wanted[:1] == ("/",):
+        roots = [r for r in map(_parts, source_paths) if r[:1] == ("/",)]
+        holding = next((r for r in roots if wanted[: len(r)] == r), None)
+        wanted = wanted[len(holding) - 1 :] if holding else wanted[1:]
+    elif user_path and not wanted:
+        wanted = (".",)
+    return "/".join(wanted).replace("//", "/")
 
 
 def stored_roots(source_paths: list[str]) -> list[str]:
-    names = (posixpath.basename(_clean(p)) for p in source_paths if p)
-    return list(dict.fromkeys(n for n in names if n not in ("", ".", "/")))
+    names = (_parts(p)[-1:] for p in source_paths if p)
+    return list(dict.fromkeys(n for (n,) in filter(None, names) if n != "/"))
 
 
 def stored_roots_column(paths: Column) -> Column:

@@ -102,14 +102,14 @@ def test_command_line(spark, tmp_path, monkeypatch):
     src, where = tmp_path / "s", str(tmp_path / "r")
     src.mkdir()
     (src / "f").write_text("x" * 2000)
-    assert "Initialized" in run(["--path", where, "init", "--name", "mine"])
-    assert run(["snapshots"]) == "No snapshots yet.\n"
-    assert "new:      1 chunks" in run(["backup", str(src), "--event", "e", "--tag", "a=b"])
-    assert "2.0 KiB" in run(["ls"]) and "no entries" in run(["ls", "latest", "nope"])
-    assert "files: 1" in run(["restore", str(tmp_path / "o"), "--path", "s/f"])
-    assert "OK (deep" in run(["verify", "--deep"])
+    assert "ready" in run(["--path", where, "init", "--name", "mine"])
+    assert run(["snapshots"]) == "nothing backed up so far\n"
+    assert "new chunks  1" in run(["backup", str(src), "--event", "e", "--tag", "a=b"])
+    assert "2.0 KiB" in run(["ls"]) and "nothing at" in run(["ls", "latest", "nope"])
+    assert "files  1" in run(["restore", str(tmp_path / "o"), "--path", "s/f"])
+    assert "contents too" in run(["verify", "--deep"])
     assert run(["query", "SELECT count(*) AS n FROM nodes"]).split() == ["n", "2"]
-    assert "Forgot snapshot" in run(["forget", "latest"]) and "deleted 1" in run(["compact"])
+    assert "is gone" in run(["forget", "latest"]) and "packs deleted  1" in run(["compact"])
     assert json.loads(run(["config"]))["default_repo"] == "mine"
     with pytest.raises(LookupError):
         run(["config", "set-default", "other"])
