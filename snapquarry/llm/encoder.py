@@ -114,18 +114,16 @@ class WordEncoder:
             pieces = text.replace("\n", " \n").split(" ")
             pieces[0] = "\n" + pieces[0]
             ids = list(map(cache.get, pieces))
-            if None in ids:
-                for i, known in enumerate(ids):
-                    if known is None:
-                        piece = pieces[i]
-                        known = cache.get(piece)
-                        if known is None:
-                            if len(cache) >= self._max:
-                                cache.clear()
-                            known = self._piece(piece)
-                            if len(piece) <= _LONGEST:
-                                cache[piece] = known
-                        ids[i] = known
+            for i in [i for i, known in enumerate(ids) if known is None]:
+                piece = pieces[i]
+                known = cache.get(piece)
+                if known is None:
+                    if len(cache) >= self._max:
+                        cache.clear()
+                    known = self._piece(piece)
+                    if len(piece) <= _LONGEST:
+                        cache[piece] = known
+                ids[i] = known
             out.append(b"".join(ids)[skip:])
         return out
 
