@@ -211,6 +211,37 @@ def test_license_positions(spark):
     assert licenses.scan(d.limit(0)).count() == 0
 
 
+def test_license_notices_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    vocabulary = sorted({w for t in licenses.TEMPLATES for w in t.words}) + ["filler", "x", "ß"]
+    rows = []
+    for i in range(400):
+        parts = []
+        for _ in range(rng.integers(1, 6)):
+            t = licenses.TEMPLATES[rng.integers(len(licenses.TEMPLATES))].words
+            t = [w if rng.random() > 0.04 else vocabulary[rng.integers(len(vocabulary))] for w in t]
+            parts += t + [vocabulary[j] for j in rng.integers(len(vocabulary), size=rng.integers(4))]
+        cut = rng.integers(0, 4, 2)
+        rows.append((i, " ".join(parts[cut[0] : len(parts) - cut[1]]).title()))
+    d = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCUMENTS)
+    got = {r["doc_id"]: sorted((m["label"], m["start"], round(m["share"], 9)) for m in r["matches"]) for r in licenses.scan(d).collect()}
+    cut_off = 0
+    for i, text in rows:
+        w, expected = words(text), []
+        for t in licenses.TEMPLATES:
+            for start in range(-len(t.words), len(w)):
+                there = [j for j in range(len(t.words)) if 0 <= start + j < len(w)]
+                if all(start + a >= 0 and w[start + a : start + a + n] == t.words[a : a + n] for a, n in t.mandatory):
+                    share = sum(w[start + j] == t.words[j] for j in there) / len(there)
+                    if share >= 0.8:
+                        expected.append((t.label, max(start, 0), round(share, 9)))
+                        cut_off += start < 0
+        assert got[i] == sorted(expected), text
+    assert cut_off
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    assert spark_rows(licenses.op10_licenses(spark, str(tmp_path))) == duck_rows(licenses.ORACLE, str(tmp_path))
+
+
 # mixing
 
 
