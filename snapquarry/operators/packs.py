@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEADER = 8
@@ -13,14 +13,27 @@ TARGET = 16 << 20
 THRESHOLD = 0.5
 
 
-def assign_buckets(chunks: DataFrame, size: str, target: int, order: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+def assign_buckets(chunks: DataFrame, size: str, target: int, order: Sequence[str], within: Sequence[str] = (), block: Column | None = None) -> DataFrame:
     """``pack_no`` by the running size before each chunk over ``target``.
 
-    ``within`` splits the order into independent parts (say, one for each walked root), so
-    that no task needs all chunks.
+    ``within`` splits the order into independent parts (say, one for each walked root).
+    ``block`` never falls along the order and cuts each part into stretches that tasks can
+    hold: sizes are summed by stretch first, the few sums are added up in order, and each
+    stretch starts from its sum, so that a large part isn't one task's.
     """
-    w = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return chunks.withColumn("pack_no", F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / target).cast("long"))
+    if block is None:
+        w = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return chunks.withColumn("pack_no", F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / target).cast("long"))
+    rows = chunks.withColumn("_block", block)
+    along = Window.partitionBy(*within).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*within, "_block").agg(F.sum(size).alias("_sum"))
+    sums = sums.select(*[F.col(c).alias(f"_in{i}") for i, c in enumerate(within)], F.col("_block").alias("_at"), F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_before"))
+    same = F.col("_block").eqNullSafe(F.col("_at"))
+    for i, c in enumerate(within):
+        same = same & F.col(c).eqNullSafe(F.col(f"_in{i}"))
+    inside = Window.partitionBy(*within, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_before") + F.coalesce(F.sum(size).over(inside), F.lit(0))
+    return rows.join(sums, same).select(*chunks.columns, F.floor(before / target).cast("long").alias("pack_no"))
 
 
 def assign_exact(chunks: DataFrame, size: str, target: int, order: Sequence[str], group: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_chunk
@@ -10,6 +10,7 @@ from ..operators import packs
 
 PIECE = 1024
 PACK_TARGET = 65536
+BLOCK = 10  # bits of the documents whose sizes one task runs over
 
 
 class Tables:
@@ -45,8 +46,8 @@ class Tables:
 
     def chunks(self) -> DataFrame:
         """Distinct pieces in packs: the first place of each, packed by running size within each source."""
-        first = self.pieces().withColumn("n", F.row_number().over(Window.partitionBy("hash").orderBy("doc_id", "seq"))).where("n = 1").drop("n")
-        placed = packs.assign_buckets(first, "length", PACK_TARGET, ["doc_id", "seq"], within=["source"])
+        first = self.pieces().groupBy("hash").agg(F.min(F.struct("doc_id", "seq", "source", "length")).alias("at")).select("hash", "at.*")
+        placed = packs.assign_buckets(first, "length", PACK_TARGET, ["doc_id", "seq"], within=["source"], block=F.shiftright("doc_id", BLOCK))
         named = placed.withColumn("pack_id", F.concat_ws("-", "source", F.col("pack_no").cast("string")))
         return packs.offsets(named, "pack_id", "length", ["doc_id", "seq"]).withColumn("comp_length", F.col("length"))
 

@@ -194,8 +194,13 @@ def pack_assign(t: Tables) -> DataFrame:  # W03, fixed buckets
     return t.chunks().select("hash", "pack_id")
 
 
-@_query()
-def pack_assign_exact(t: Tables) -> DataFrame:  # W03, SK07; the resetting sum has no SQL form
+@_query("""SELECT source, doc_id, seq, hash, length, pack_no FROM (
+WITH RECURSIVE numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, seq) AS n FROM first_pieces),
+p AS (SELECT *, 0::BIGINT AS pack_no, 8 + length AS held FROM numbered WHERE n = 1 UNION ALL
+      SELECT b.*, p.pack_no + (p.held >= 65536)::BIGINT, CASE WHEN p.held >= 65536 THEN 8 ELSE p.held END + b.length
+      FROM p JOIN numbered b ON p.source IS NOT DISTINCT FROM b.source AND b.n = p.n + 1)
+SELECT * FROM p)""")
+def pack_assign_exact(t: Tables) -> DataFrame:  # W03, SK07
     first = index.first_occurrences(t.pieces(), ["doc_id", "seq"])
     return packs.assign_exact(first.select("source", "doc_id", "seq", "hash", "length"), "length", 65536, ["doc_id", "seq"], "source")
 
@@ -246,7 +251,7 @@ def _compaction(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     flagged = packs.flag_live(t.chunks(), index.live_set(t.surviving()))
     classes = packs.classify(packs.liveness(flagged))
     moving = flagged.where("live").join(classes.where("class = 'candidate'").select("pack_id"), "pack_id", "left_semi")
-    placed = packs.offsets(moving.drop("offset").withColumn("old", F.col("pack_id")).join(t.chunks().select("hash", F.col("offset").alias("old_offset")), "hash"), "source", "comp_length", ["old", "old_offset"])
+    placed = packs.offsets(moving.withColumnsRenamed({"offset": "old_offset", "pack_id": "old"}), "source", "comp_length", ["old", "old_offset"])
     placed = placed.withColumn("pack_id", F.concat(F.lit("new-"), "source")).select("hash", "pack_id", "offset", "comp_length", "length")
     return flagged, classes, placed, packs.summary(placed, "pack_id", "comp_length")
 

@@ -137,3 +137,13 @@ def test_forget_keeps_records_that_share_a_file(spark, tmp_path):
     # a crash between the copy and the deletion leaves a record twice
     c.write_record(c.snapshots())
     assert c.snapshots().count() == 1
+
+
+def test_packs_by_blocks_are_those_of_one_window(spark):
+    rows = [(s, i, j, ((i or 0) * 7 + j * 3) % 50 + 1) for s in ("a", "b", None) for i in [None, *range(-5, 90)] for j in range(3)]
+    d = spark.createDataFrame(rows, "source string, doc_id long, seq long, length long")
+    plain = packs.assign_buckets(d, "length", 64, ["doc_id", "seq"], ["source"])
+    for bits in (0, 2, 5):
+        cut = packs.assign_buckets(d, "length", 64, ["doc_id", "seq"], ["source"], F.shiftright("doc_id", bits))
+        assert cut.columns == plain.columns and cut.exceptAll(plain).isEmpty() and plain.exceptAll(cut).isEmpty()
+    assert packs.assign_buckets(d.limit(0), "length", 64, ["doc_id"], [], F.col("doc_id")).isEmpty()
