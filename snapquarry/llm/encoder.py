@@ -137,11 +137,16 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 
 @contextmanager
-def encoder(path: str) -> Iterator[WordEncoder]:
-    """One encoder for each worker process and file; what it learned in a task goes when the task ends."""
+def encoder(path: str, keep: bool = False) -> Iterator[WordEncoder]:
+    """One encoder for each worker process and file.
+
+    What it learned in a task goes when the task ends, unless ``keep`` leaves it, within
+    ``max_pieces`` short pieces, to the worker's next task.
+    """
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     try:
         yield _ENCODERS[path]
     finally:
-        _ENCODERS[path].forget()
+        if not keep:
+            _ENCODERS[path].forget()

@@ -61,7 +61,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         from pyspark import TaskContext
 
         part, start, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
-        with encoder(tokenizer) as enc:
+        with encoder(tokenizer, keep=True) as enc:
             for batch in batches:
                 for at, texts in _slices(batch, "text"):
                     packed = [ids + end for ids in enc.encode(texts)]
